@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.llm import components, pieces, skeleton, survivor, tokens
+from marquetry.llm import components, leaks, pieces, skeleton, survivor, tokens
 from marquetry.sources.tables import table
 
 LOOK_ALIKE_TEXTS = (("item", "title"), ("item", "norm"), ("item_alias", "norm"))
@@ -57,6 +57,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an evaluation item or a third of its words in a row, and how many words."""
+    return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_item", "eval_id", "text"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    return p9_spans(spark, folder).select("doc_id", "eval_id")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of more than 1,024 tokens: those with a second piece.
 
@@ -72,7 +82,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p5_found, p5_truth, p5_reliability, p7_found, p8_ids, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p5_found, p5_truth, p5_reliability, p7_found, p8_ids, p9_found, p9_spans, p10_found, p10_pieces)}
 
 _NONE = ", ".join("'" + w + "'" for w in survivor.NO_VALUE)
 _PLACE = ", ".join("'" + w + "'" for w in components.PLACEHOLDERS)
