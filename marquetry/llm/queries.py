@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquetry.llm import components, leaks, pieces, skeleton, survivor, tokens, works
+from marquetry.llm import components, leaks, names, pieces, skeleton, survivor, tokens, works
 from marquetry.sources.tables import table
 
 LOOK_ALIKE_TEXTS = (("item", "title"), ("item", "norm"), ("item_alias", "norm"))
@@ -21,6 +21,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_matches(spark, folder).select("item_id_a", "item_id_b")
 
 
+def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every person row that is linked to another, with its entity (the smallest person_id)."""
+    return names.entities(table(spark, folder, "person", "person_id", "name", "kind", "sort_name", "aliases", "birth_date", "country", "updated_at"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two person rows that are the same person, group or company."""
+    return names.entity_pairs(p3_entities(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of pk whose titles or norms read the same to the eye but differ in characters."""
     parts = [skeleton.look_alikes(table(spark, folder, name, "pk", column), "pk", column).select(F.lit(f"{name}.{column}").alias("field"), "pk_a", "pk_b") for name, column in LOOK_ALIKE_TEXTS]
@@ -92,7 +102,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_forms, p5_found, p5_truth, p5_reliability, p7_found, p8_ids, p9_found, p9_spans, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p3_entities, p4_found, p4_forms, p5_found, p5_truth, p5_reliability, p7_found, p8_ids, p9_found, p9_spans, p10_found, p10_pieces)}
 
 _NONE = ", ".join("'" + w + "'" for w in survivor.NO_VALUE)
 _PLACE = ", ".join("'" + w + "'" for w in components.PLACEHOLDERS)
