@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from marquetry.functions import scalars
 from marquetry.plans import training
+from marquetry.plans.sql import register
 
-QUERIES = training.QUERIES
-ORACLE = training.ORACLE
+_SCALARS = register({name: scalars.query_text(name) for name in scalars.SCALARS})
+
+QUERIES = training.QUERIES | _SCALARS[0]
+ORACLE = training.ORACLE | _SCALARS[1]
 FLAGSHIP = "p6_found"
