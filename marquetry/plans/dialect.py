@@ -16,6 +16,7 @@ Render = Callable[[list[str]], str]
 _GROUP = re.compile(r"\\(\d)")
 _SPARK: dict[str, Render] = {
     "concat": lambda a: f"concat({', '.join(a)})",
+    "trim": lambda a: f"trim({', '.join(a)})",
     "rx_sub": lambda a: f"regexp_replace({a[0]}, {a[1]}, {_GROUP.sub(r'$\1', a[2])})",
     "rx_get": lambda a: f"regexp_extract({', '.join(a)})",
     "rx_all": lambda a: f"regexp_extract_all({', '.join(a)})",
@@ -43,6 +44,7 @@ _SPARK: dict[str, Render] = {
 }
 _DUCK: dict[str, Render] = {
     "concat": lambda a: f"({' || '.join(a)})",
+    "trim": lambda a: f"trim({a[0]})" if len(a) > 1 or " FROM " in a[0] else f"trim({a[0]}, ' ')",
     "rx_sub": lambda a: f"regexp_replace({', '.join(a)}, 'g')",
     "rx_get": lambda a: f"regexp_extract({', '.join(a)})",
     "rx_all": lambda a: f"regexp_extract_all({', '.join(a)})",

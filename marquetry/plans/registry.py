@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from marquetry.functions import scalars
-from marquetry.plans import training
+from marquetry.plans import credits, entities, resolve, store, training
 from marquetry.plans.sql import register
 
-_SCALARS = register({name: scalars.query_text(name) for name in scalars.SCALARS})
+_TEXTS = {name: scalars.query_text(name) for name in scalars.SCALARS} | store.TEXTS | resolve.TEXTS | credits.TEXTS | entities.TEXTS
+_QUERIES, _ORACLE = register(_TEXTS)
 
-QUERIES = training.QUERIES | _SCALARS[0]
-ORACLE = training.ORACLE | _SCALARS[1]
-FLAGSHIP = "p6_found"
+QUERIES = training.QUERIES | _QUERIES
+ORACLE = training.ORACLE | _ORACLE
+FLAGSHIP = "consolidate"
