@@ -36,6 +36,7 @@ def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     order within ``limit``-sized cells of it, so no row leaves and no block grows quadratically.
     """
     scratch = Scratch(keys.sparkSession)
+    keys = scratch.keep(keys)  # read three times, made once
     first = _counted(keys, scratch)
     pairs = _small_pairs(first.where(F.col("n") <= limit))
     wide = first.where(F.col("n") > limit)
