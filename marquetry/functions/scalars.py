@@ -62,6 +62,9 @@ _RUNS = "CASE WHEN event_id % 6 = 0 THEN concat(CAST(event_id % 3 AS STRING), 'h
 
 _CLEAN = f"trim(BOTH ' -.' FROM rx_sub(rx_sub(replace(replace($t, '.', ' '), '_', ' '), ~'(?i)\\b({RELEASE_WORDS})\\b', ' '), ~'\\s+', ' '))"
 
+_TITLE_PART = "CASE WHEN rx_is($x, ~'[Ss][0-9]{1,2}[EeXx][0-9]{1,3}') THEN rx_get($x, ~'^(.*?)[Ss][0-9]{1,2}[EeXx][0-9]{1,3}', 1) WHEN rx_is($x, ~'[(.\\s](19|20)[0-9]{2}([).\\s]|$)') THEN rx_get($x, ~'^(.*?)[(.\\s](?:19|20)[0-9]{2}(?:[).\\s]|$)', 1) ELSE $x END"
+_SHORT_MONTH = "CASE lower(rx_get(trim($x), ~'[0-9]{1,2} ([A-Za-z]{3}) [0-9]{4}', 1)) " + " ".join(f"WHEN '{m[:3]}' THEN '{i:02d}'" for i, m in enumerate(MONTHS, 1)) + " END"
+
 SCALARS: dict[str, Scalar] = {
     "norm_entity_name": Scalar("Lower case, signs to one blank; accents stay.", "trim(rx_sub(lower($x), ~'[^\\p{L}\\p{N}]+', ' '))", "person", "person_id", {"x": "name"}),
     "url_norm": Scalar(
@@ -105,6 +108,8 @@ SCALARS: dict[str, Scalar] = {
         "events", "event_id", {"x": _CLOCK}),
     "extra_type": Scalar("The vocabulary's type of an extra; 'other' for words it has none for.", f"CASE WHEN replace(trim(rx_sub(rx_sub(lower($x), ~'[-_]', ' '), ~'\\s+', ' ')), ' ', '-') IN ({_in(EXTRA_TYPES)}) THEN replace(trim(rx_sub(rx_sub(lower($x), ~'[-_]', ' '), ~'\\s+', ' ')), ' ', '-') WHEN trim(rx_sub(rx_sub(lower($x), ~'[-_]', ' '), ~'\\s+', ' ')) = 'live performance' THEN 'live-session' ELSE 'other' END", "item", "pk", {"x": "CASE pk % 8 WHEN 0 THEN ' Behind the_Scenes' WHEN 1 THEN 'Live  Performance' WHEN 2 THEN 'TRAILER' WHEN 3 THEN 'music-video' WHEN 4 THEN 'Bloopers' WHEN 5 THEN kind ELSE 'Deleted Scene' END"}),
     "parse_video_title": Scalar("The title in a video file's name, without release words.", _CLEAN.replace("$t", "CASE WHEN rx_is($x, ~'[Ss][0-9]{1,2}[EeXx][0-9]{1,3}') THEN rx_get($x, ~'^(.*?)[Ss][0-9]{1,2}[EeXx][0-9]{1,3}', 1) WHEN rx_is($x, ~'[(.\\s](19|20)[0-9]{2}([).\\s]|$)') THEN rx_get($x, ~'^(.*?)[(.\\s](?:19|20)[0-9]{2}(?:[).\\s]|$)', 1) ELSE $x END"), "item", "pk", {"x": f"CASE WHEN pk % 3 = 0 THEN concat(replace(title, ' ', '.'), '.S', pad2(pk % 20), 'E', pad2(pk % 30), '.720p') ELSE {_STEM} END"}),
+    "parse_video_name": Scalar("Title, year, season and episode in a video file's name, joined by bars.", "concat(" + _CLEAN.replace("$t", _TITLE_PART) + ", '|', coalesce(nullif(CASE WHEN rx_is($x, ~'[Ss][0-9]{1,2}[EeXx][0-9]{1,3}') THEN '' ELSE rx_get($x, ~'[(.\\s]((?:19|20)[0-9]{2})(?:[).\\s]|$)', 1) END, ''), '-'), '|', coalesce(CAST(try_cast(nullif(rx_get($x, ~'[Ss]([0-9]{1,2})[EeXx][0-9]{1,3}', 1), '') AS INT) AS STRING), '-'), '|', coalesce(CAST(try_cast(nullif(rx_get($x, ~'[Ss][0-9]{1,2}[EeXx]([0-9]{1,3})', 1), '') AS INT) AS STRING), '-'))", "item", "pk", {"x": f"CASE WHEN pk % 3 = 0 THEN concat(replace(title, ' ', '.'), '.S', pad2(pk % 20), 'E', pad2(pk % 30), '.720p') ELSE {_STEM} END"}),
+    "rfc_date": Scalar("The ISO date of an RFC 2822 date; null when it is none.", "CASE WHEN rx_is(trim($x), ~'^([A-Za-z]{3}, )?[0-9]{1,2} [A-Za-z]{3} [0-9]{4}( |$)') AND (" + _SHORT_MONTH + ") IS NOT NULL THEN concat(rx_get(trim($x), ~'[A-Za-z]{3} ([0-9]{4})', 1), '-', " + _SHORT_MONTH + ", '-', pad2(CAST(rx_get(trim($x), ~'([0-9]{1,2}) [A-Za-z]{3} [0-9]{4}', 1) AS INT))) END", "events", "event_id", {"x": "CASE event_id % 4 WHEN 0 THEN concat('Tue, ', CAST(1 + event_id % 28 AS STRING), ' Feb 2022 10:00:00 +0000') WHEN 1 THEN concat(CAST(1 + event_id % 28 AS STRING), ' nov 1999') WHEN 2 THEN concat('Mon, 3 Foo ', CAST(event_id AS STRING)) ELSE event_type END"}),
     "embedded_ids": Scalar("The ids a file's name carries in brackets, as scheme:value joined by blanks.", "trim(concat(CASE WHEN rx_is($x, ~'(?i)[\\[{]tmdb(id)?[-=][0-9]+[\\]}]') THEN concat(CASE WHEN rx_is($x, ~'[Ss][0-9]{1,2}[EeXx][0-9]{1,3}') THEN 'tmdb_tv:' ELSE 'tmdb_movie:' END, rx_get($x, ~'(?i)[\\[{]tmdb(?:id)?[-=]([0-9]+)[\\]}]', 1), ' ') ELSE '' END, CASE WHEN rx_is($x, ~'(?i)[\\[{]imdb(id)?[-=]tt[0-9]+[\\]}]') THEN concat('imdb:', rx_get($x, ~'(?i)[\\[{]imdb(?:id)?[-=](tt[0-9]+)[\\]}]', 1), ' ') ELSE '' END, CASE WHEN rx_is($x, ~'(?i)[\\[{]tvdb(id)?[-=][0-9]+[\\]}]') THEN concat('tvdb:', rx_get($x, ~'(?i)[\\[{]tvdb(?:id)?[-=]([0-9]+)[\\]}]', 1)) ELSE '' END))", "item", "pk", {"x": _NAME}),
     "youtube_id": Scalar("The 11-character id in a file's stem: in brackets, alone, or between underscores, in this order.", "coalesce(nullif(rx_get($x, ~'\\[([A-Za-z0-9_-]{11})\\]', 1), ''), nullif(rx_get($x, ~'^([A-Za-z0-9_-]{11})$', 1), ''), nullif(rx_get($x, ~'_([A-Za-z0-9_-]{11})_', 1), ''))", "item", "pk", {"x": _TUBE}),
     "media_kind": Scalar("music, episodic or movie by medium and season.", "CASE WHEN $m IN ('music', 'music_video', 'album', 'track') THEN 'music' WHEN $m IN ('series', 'tv', 'anime') OR $s IS NOT NULL THEN 'episodic' ELSE 'movie' END", "provider_match", "match_id", {"m": "lower(signals.medium)", "s": "signals.season"}),
