@@ -73,7 +73,11 @@ def ttl_cache(events: DataFrame, ttl: float) -> DataFrame:
 
 
 def stream_token_bucket(stream: DataFrame, rate: float, burst: float) -> DataFrame:
-    """``token_bucket`` on a stream: the bucket is keyed state that expires once it has refilled."""
+    """``token_bucket`` on a stream with an event time ``ts``: a bucket is keyed state.
+
+    It expires once the watermark (ten minutes behind) shows that it has refilled, for a full bucket
+    is no different from a fresh one.
+    """
     step = bucket_step(rate, burst)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -87,10 +91,11 @@ def stream_token_bucket(stream: DataFrame, rate: float, burst: float) -> DataFra
             held, (granted, wait) = step(held, row)
             out.append((key[0], row.event_id, granted, wait))
         state.update(held)
-        state.setTimeoutDuration(max(1000, int(burst / rate * 1000)))
+        full = int((held[1] + burst / rate) * 1000)
+        state.setTimeoutTimestamp(max(full, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "granted", "wait_s"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, granted boolean, wait_s double", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, granted boolean, wait_s double", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch(spark: SparkSession, folder: str, schema, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, pattern: str = "*.parquet"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from marquetry.operators.clusters import mapping_clusters
 from marquetry.operators.fusion import RUNTIME_TOLERANCE, consolidate
@@ -82,7 +83,7 @@ def test_files_and_store(spark, tmp_path):
 
 
 def test_buckets_caches_and_streams(spark, tmp_path):
-    rows = [(u, i, float(t)) for u in (1, 2) for i, t in enumerate((0, 1, 2, 3, 100, 101, 5000))]
+    rows = [(u, i, 1.6e9 + t) for u in (1, 2) for i, t in enumerate((0, 1, 2, 3, 100, 101, 5000))]
     events = spark.createDataFrame(rows, "user_id long, event_id long, second double")
     step, want = jobs.bucket_step(0.01, 2.0), {}
     for u in (1, 2):
@@ -94,7 +95,8 @@ def test_buckets_caches_and_streams(spark, tmp_path):
     hits = [r.hit for r in jobs.ttl_cache(events.where("user_id = 1"), 99.0).orderBy("event_id").collect()]
     assert hits == [False, True, True, True, False, True, False]
     scratch = Scratch(spark)
-    events.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    timed = events.withColumn("ts", F.timestamp_seconds("second"))
+    timed.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/in")
     jobs.stream_token_bucket(stream, 0.01, 2.0).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{scratch.root}/c").trigger(availableNow=True).start().awaitTermination()
     assert {(r.user_id, r.event_id): (r.granted, r.wait_s) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want

@@ -17,7 +17,6 @@ def test_equals_group_by_with_a_hot_key(spark, fan_in):
     df = spark.range(0, 3000, numPartitions=9).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), F.col("id").alias("x"), F.lit("extra").alias("n_extra"))
     got = tree_aggregate(df, ["key"], {"n": ("count", "*"), "s": ("sum", "x"), "lo": ("min", "x"), "hi": ("max", "x")}, fan_in=fan_in)
     want = df.groupBy("key").agg(F.count(F.lit(1)), F.sum("x"), F.min("x"), F.max("x"))
-    assert sorted(map(str, got.collect())) == sorted(str(type(r)(*r)).replace("count(1)", "n") for r in got.collect())
     assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(tuple(map(str, r)) for r in want.collect())
 
 
