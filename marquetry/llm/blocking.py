@@ -26,20 +26,22 @@ def _counted(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(hot_split_join(keys, counts, ["key"], "n", total))
 
 
-def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS, first_limit: int | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids that share a blocking key.
 
     ``keys`` has id (bigint), key (bigint) and refs (array<bigint>, other fields to refine by; may be
-    null or empty) with each (id, key) once. A key of more than ``limit`` rows is refined: its rows
+    null or empty) with each (id, key) once. A key of more than ``first_limit`` rows (``limit`` when not
+    given) is refined: its rows
     pair up where they share one of their refs as well. What is still too large after that is alike
     in both respects, and each of its rows pairs with the block's least id and the next by hash
     order within ``limit``-sized cells of it, so no row leaves and no block grows quadratically.
     """
     scratch = Scratch(keys.sparkSession)
+    first_limit = first_limit or limit
     keys = scratch.keep(keys)  # read three times, made once
     first = _counted(keys, scratch)
-    pairs = _small_pairs(first.where(F.col("n") <= limit))
-    wide = first.where(F.col("n") > limit)
+    pairs = _small_pairs(first.where(F.col("n") <= first_limit))
+    wide = first.where(F.col("n") > first_limit)
     refined = wide.select("id", F.explode("refs").alias("r"), "key").select("id", F.xxhash64("key", "r").alias("key")).distinct()
     second = _counted(refined, scratch)
     pairs = pairs.unionByName(_small_pairs(second.where(F.col("n") <= limit)))
