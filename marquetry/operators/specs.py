@@ -1,0 +1,125 @@
+"""Declarative dataset mappings that compile to selects, and the registries of sources.
+
+A ``SetSpec`` says which columns of a dataset hold the title, ids, names and fields; ``build`` turns it
+into the three tables of the store. Nothing is looked at row by row: the spec becomes column expressions,
+so pruning and push-down see exactly the columns it maps.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from marquetry.functions.scalars import column
+from marquetry.functions.text import norm_name
+from marquetry.sources.tables import require
+
+#: Caps of one row's lists and texts.
+MAX_IDS, MAX_NAMES, MAX_TEXT = 20, 20, 2000
+
+
+@dataclass(frozen=True)
+class SetSpec:
+    """The mapping of one dataset. Column lists are alternatives: the first that is not blank counts."""
+
+    name: str
+    kind: str
+    key: str
+    title: tuple[str, ...]
+    ids: dict[str, str] = field(default_factory=dict)  # column -> id field
+    names: tuple[str, ...] = ()
+    fields: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    year: str | None = None
+    rank: str | None = None
+    runtime_unit: float = 1.0
+    kind_by: tuple[str, dict[str, str]] | None = None
+
+
+def _text(df: DataFrame, name: str) -> Column:
+    """Trimmed text of a column; null for a missing column, a blank, NaN or infinity."""
+    if name not in df.columns:
+        return F.lit(None).cast("string")
+    c = F.col(name)
+    if dict(df.dtypes)[name] in ("double", "float"):
+        c = F.when(F.abs(c) < float("inf"), c)
+    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+
+
+def _values(df: DataFrame, name: str) -> Column:
+    """A scalar or list column as an array of texts that are not blank."""
+    c = F.col(name)
+    array = c.cast("array<string>") if dict(df.dtypes)[name].startswith("array") else F.array(c.cast("string"))
+    return F.filter(F.transform(F.coalesce(array, F.array().cast("array<string>")), F.trim), lambda v: v.isNotNull() & (v != ""))
+
+
+def _id_entries(df: DataFrame, name: str, id_field: str) -> Column:
+    """(field, value) structs of an id column."""
+
+    def entry(v: Column) -> Column:
+        return F.struct(F.lit(id_field).alias("field"), (F.upper(F.replace(v, F.lit("-"), F.lit(""))) if id_field.startswith("isbn") else v).alias("value"))
+
+    return F.transform(F.slice(_values(df, name), 1, MAX_IDS), entry)
+
+
+def build(df: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(item, ext_id, alias) of a dataset; rows without a title are skipped.
+
+    The title column(s) and the key must exist, other mapped columns may be absent. Rank NaN and
+    infinite is null; ISBNs lose hyphens; an alias equal to the title's norm is none; repeated ids and
+    aliases stand once.
+    """
+    require(df, spec.name, [spec.key, spec.title[0]])
+    title = F.coalesce(*[_text(df, c) for c in spec.title])
+    kind = F.lit(spec.kind)
+    if spec.kind_by and spec.kind_by[0] in df.columns:
+        pairs = [F.lit(x) for kv in spec.kind_by[1].items() for x in kv]
+        kind = F.coalesce(F.create_map(*pairs)[_text(df, spec.kind_by[0])], kind) if pairs else kind
+    out = {}
+    for name, columns in spec.fields.items():
+        value = F.coalesce(*[_text(df, c) for c in columns])
+        if name == "runtime_min":
+            minutes = F.round(value.try_cast("double") * spec.runtime_unit, 2)
+            out[name] = F.when(minutes > 0, minutes)
+        else:
+            out[name] = F.substring(value, 1, MAX_TEXT)
+    rows = df.where(title.isNotNull()).withColumns({"__pk": F.col(spec.key), "__title": title}).withColumn("__norm", norm_name(F.col("__title")))
+    year = [column("year_extract", x=f"CAST(`{c}` AS STRING)") for c in ((spec.year,) if spec.year and spec.year in df.columns else ()) + tuple(c for c in spec.fields.get("release_date", ()) if c in df.columns)]
+    rank = _text(df, spec.rank).try_cast("double") if spec.rank else F.lit(None).cast("double")
+    item = rows.select(F.col("__pk").alias("pk"), kind.alias("kind"), F.col("__title").alias("title"), F.col("__norm").alias("norm"), (F.coalesce(*year) if year else F.lit(None).cast("int")).alias("year"), F.when(F.abs(rank) < float("inf"), rank).alias("rank"), *[c.alias(n) for n, c in out.items()])
+    ids = [_id_entries(df, c, f) for c, f in spec.ids.items() if c in df.columns]
+    empty = F.array().cast("array<struct<field:string,value:string>>")
+    ext_id = rows.select(F.explode(F.concat(*ids) if ids else empty).alias("e"), F.col("__pk").alias("pk")).select("e.field", "e.value", "pk").distinct()
+    names = [_values(df, c) for c in (*spec.names, *spec.title[1:]) if c in df.columns]
+    listed = rows.select("__pk", "__norm", F.explode(F.slice(F.concat(*names), 1, MAX_NAMES) if names else F.array().cast("array<string>")).alias("n"))
+    alias = listed.select(norm_name(F.col("n")).alias("norm"), F.col("__pk").alias("pk"), "__norm").where("norm <> '' and norm <> __norm").select("norm", "pk").distinct()
+    return item, ext_id, alias
+
+
+#: A source adapter: a table of questions in, its candidates out.
+Adapter = Callable[[DataFrame], DataFrame]
+_ADAPTERS: dict[str, tuple[int, Adapter]] = {}
+
+
+def register(name: str, adapter: Adapter, priority: int = 100) -> None:
+    """Add a source; a name once taken is not taken again."""
+    if name in _ADAPTERS:
+        raise ValueError(f"source {name!r} is registered already")
+    _ADAPTERS[name] = (priority, adapter)
+
+
+def unregister(name: str) -> None:
+    _ADAPTERS.pop(name, None)
+
+
+def candidates(questions: DataFrame) -> DataFrame:
+    """The union of all sources' candidates, beside the source's name and place (priority, then name)."""
+    parts = [adapter(questions).withColumns({"source": F.lit(name), "source_seq": F.lit(i)}) for i, (name, (_, adapter)) in enumerate(sorted(_ADAPTERS.items(), key=lambda kv: (kv[1][0], kv[0])))]
+    if not parts:
+        raise ValueError("no source is registered")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
