@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquetry.operators.skew import hot_split_join
@@ -10,6 +12,8 @@ from marquetry.session import Scratch
 
 #: A block of up to this many rows gives all its pairs; a larger one is refined by other fields.
 BLOCK_ROWS = 48
+#: Rows of one side of a tile, in which all pairs of a large block are made.
+TILE_ROWS = 1000
 
 _PAIRS = "explode(flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(least(x, y) AS a, greatest(x, y) AS b))))) AS p"
 
@@ -26,15 +30,55 @@ def _counted(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(hot_split_join(keys, counts, ["key"], "n", total))
 
 
-def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS, first_limit: int | None = None) -> DataFrame:
+def _tiled(blocks: DataFrame, apart: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """All pairs of blocks (id, key, n, twin, fact, same) of any size, of which no task holds a whole one.
+
+    A block is cut into groups of TILE_ROWS rows and every two groups meet in a tile of their own. With
+    ``same`` unset, pairs of one twin leave; pairs that ``apart`` tells from their facts always do.
+    """
+    groups = F.ceil(F.col("n") / TILE_ROWS).cast("int")
+    rows = blocks.withColumn("g", groups).withColumn("s", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    left = rows.select("key", "same", F.col("s").alias("p"), F.explode(F.sequence("s", F.col("g") - 1)).alias("q"), F.col("id").alias("i"), F.col("twin").alias("ti"), F.col("fact").alias("fi"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), "s")).alias("p"), F.col("s").alias("q"), F.col("id").alias("j"), F.col("twin").alias("tj"), F.col("fact").alias("fj"))
+    met = left.join(right.hint("shuffle_merge"), ["key", "p", "q"]).where("(p < q or i < j) and (same or ti <> tj)")
+    if apart:
+        met = met.where(~apart(F.col("fi"), F.col("fj")))
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+
+def _whole(alike: DataFrame, facts: DataFrame, apart: Callable[[Column, Column], Column] | None, scratch: Scratch) -> DataFrame:
+    """All pairs of the blocks ``alike`` (id, key); what many blocks repeat is made once.
+
+    Twins stand in the same blocks, so their pairs are made once a twin and not once a block. Of blocks
+    with the same rows one is kept.
+    """
+    rows = scratch.keep(alike.select("id", "key").join(facts, "id"))
+    shape = [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 31))).alias("y")]
+    shapes = rows.groupBy("key").agg(*shape, (F.min("twin") < F.max("twin")).alias("mixed")).where("mixed")
+    mixed = scratch.keep(shapes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
+    twins = scratch.keep(rows.select("id", F.col("twin").alias("key"), "twin", "fact").distinct())
+    counts = scratch.keep(twins.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = lambda t: t.agg(F.sum("n")).first()[0] or 1
+    columns = ["id", "key", "n", "twin", "fact"]
+    across = hot_split_join(rows, mixed, ["key"], "n", total(mixed)).select(*columns, F.lit(False).alias("same"))
+    within = hot_split_join(twins, counts, ["key"], "n", total(counts)).select(*columns, F.lit(True).alias("same"))
+    return _tiled(across, apart).unionByName(_tiled(within, apart))
+
+
+def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS, first_limit: int | None = None, facts: DataFrame | None = None, apart: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids that share a blocking key.
 
     ``keys`` has id (bigint), key (bigint) and refs (array<bigint>, other fields to refine by; may be
     null or empty) with each (id, key) once. A key of more than ``first_limit`` rows (``limit`` when not
     given) is refined: its rows
     pair up where they share one of their refs as well. What is still too large after that is alike
-    in both respects, and each of its rows pairs with the block's least id and the next by hash
-    order within ``limit``-sized cells of it, so no row leaves and no block grows quadratically.
+    in both respects. With ``facts`` it gives all its pairs as well, made in tiles: facts has id, twin
+    (bigint, equal for rows whose texts are equal, so that they share their keys and a ref) and fact,
+    by which ``apart`` drops those pairs of large blocks that the caller would drop anyway.
+
+    Without facts the rows of such a block are only linked, for callers that need no more: each pairs
+    with the block's least id and the next by hash order within ``limit``-sized cells of it, so no row
+    leaves and no block grows quadratically, but most pairs are not given.
     """
     scratch = Scratch(keys.sparkSession)
     first_limit = first_limit or limit
@@ -46,6 +90,8 @@ def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS, first_limit: int | Non
     second = _counted(refined, scratch)
     pairs = pairs.unionByName(_small_pairs(second.where(F.col("n") <= limit)))
     alike = second.where(F.col("n") > limit)
+    if facts is not None:
+        return pairs.unionByName(_whole(alike, facts, apart, scratch)).where("a <> b").distinct()
     star = alike.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     cells = alike.select("id", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") * 4 / limit))).alias("key"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)).alias("o"))
     # a cell holds limit / 4 rows on average; its rows pair along a chain in hash order

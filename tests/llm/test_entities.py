@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from marquetry.llm import components, names, spelling, survivor, works
+from marquetry.llm import blocking, components, names, spelling, survivor, works
 from marquetry.llm.blocking import block_pairs
 from marquetry.llm.queries import ORACLE, QUERIES
 from tests.oracle import DATA, compare
@@ -61,6 +61,17 @@ def test_blocks_lose_no_row(spark):
     assert block_pairs(spark.createDataFrame([], "id long, key long, refs array<long>")).count() == 0
 
 
+def test_large_blocks_give_all_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "TILE_ROWS", 30)
+    rows = [(i, k, [1, i % 2]) for i in range(300) for k in (7, 8)] + [(i, 8, [1]) for i in range(300, 310)]
+    keys = spark.createDataFrame(rows, "id long, key long, refs array<long>")
+    facts = spark.createDataFrame([(i, i // 200, str(i % 3)) for i in range(310)], "id long, twin long, fact string")
+    got = [tuple(r) for r in block_pairs(keys, limit=20, facts=facts).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(combinations(range(310), 2))
+    near = [tuple(r) for r in block_pairs(keys, limit=20, facts=facts, apart=lambda x, y: x != y).collect()]
+    assert len(near) == len(set(near)) and set(near) == {(a, b) for a, b in combinations(range(310), 2) if a % 3 == b % 3}
+
+
 MATCH = "match_id long, query_id long, provider string, confidence double, accepted boolean, signals struct<title:string,artist:string,year:int,season:int,runtime:double,medium:string,language:string,country:string>, fetched_at timestamp, source string"
 
 
@@ -148,6 +159,22 @@ def test_works_match_and_remakes_do_not(spark):
     assert works.matches(spark.createDataFrame([], ITEM)).count() == 0
 
 
+def hot_title(count, seed=5):
+    """Works of one title, two rows each, that only year and runtime tell apart."""
+    rng, rows = random.Random(seed), []
+    for w, (year, minutes) in enumerate(rng.sample([(y, m) for y in range(1950, 2021) for m in range(40, 201)], count)):
+        for s, source in enumerate(("tmdb", "wikidata")):
+            rows.append((2 * w + s, source, "movie", "The Tower of Bodagunteki", None, None, year, None, float(minutes), None, None, NOW, NOW, "x"))
+    return rows
+
+
+def test_a_hot_title_keeps_its_true_pairs(spark):
+    got = works.matches(spark.createDataFrame(hot_title(400), ITEM))
+    pairs = {(r.item_id_a, r.item_id_b) for r in got.select("item_id_a", "item_id_b").collect()}
+    assert {(2 * w, 2 * w + 1) for w in range(400)} <= pairs
+    assert len(pairs) == 400 * 400  # every row of one source with every row of the other
+
+
 def test_logistic_recovers_a_rule():
     rng = np.random.default_rng(1)
     x = rng.random((600, len(works.FEATURES)))
