@@ -74,7 +74,8 @@ def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS, first_limit: int | Non
     pair up where they share one of their refs as well. What is still too large after that is alike
     in both respects. With ``facts`` it gives all its pairs as well, made in tiles: facts has id, twin
     (bigint, equal for rows whose texts are equal, so that they share their keys and a ref) and fact,
-    by which ``apart`` drops those pairs of large blocks that the caller would drop anyway.
+    by which ``apart`` drops those pairs of large blocks that the caller would drop anyway (it is given
+    the two facts, columns fi and fj).
 
     Without facts the rows of such a block are only linked, for callers that need no more: each pairs
     with the block's least id and the next by hash order within ``limit``-sized cells of it, so no row

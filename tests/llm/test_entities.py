@@ -214,3 +214,46 @@ def test_a_hot_name_keeps_all_its_rows(spark):
     rows = [(i, "Bonkanreva Gravelund", "person", None, None, "1950-01-01", None, "tmdb", "", NOW, "x") for i in range(150)]
     got = names.entities(spark.createDataFrame(rows, PERSON)).collect()
     assert len(got) == 150 and {r.entity for r in got} == {0}
+
+
+def test_a_hot_name_pairs_each_row_with_its_best_partner(spark):
+    rows = []
+    for e in range(120):
+        year, day = 1950 + e % 3, f"{1 + e // 28:02}-{1 + e % 28:02}"
+        short = f"{year}" if e % 2 else None
+        births = (f"{year}-{day}", short, short)  # the third row equals the second
+        rows += [(3 * e + i, "Bonkanreva Gravelund", "person", None, [], b, f"C{e}", "tmdb", "", NOW, "x") for i, b in enumerate(births)]
+    got = names.entities(spark.createDataFrame(rows, PERSON)).collect()
+    assert {r.person_id: r.entity for r in got} == {3 * e + i: 3 * e for e in range(120) for i in range(3)}
+
+
+def test_rows_that_stand_for_others_vote_for_all_of_them(spark):
+    person = lambda i, born, country=None: (i, "Richard Gozunsirangu", "person", None, None, born, country, "tmdb", "", NOW, "x")
+    rows = [person(1, "1936-10-11"), person(2, "1936-10-11"), person(3, "1936-10-11"), person(4, "1971-12-19"), person(5, None), person(6, "", "")]
+    got = names.entities(spark.createDataFrame(rows, PERSON))
+    assert {r.person_id: r.entity for r in got.collect()} == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1}
+
+
+def test_the_bound_of_names_lets_every_match_pass(spark):
+    rng = random.Random(4)
+    syllables = [c + v for c in "bdgkmnprst" for v in "aeiou"]
+
+    def name():
+        first, last = rng.choice(("alexander", "alex", "sandy", "joseph", "joe", "j", "tori")), "".join(rng.choice(syllables[:12]) for _ in range(rng.randint(1, 5)))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(last) + 1)
+            last = last[:k] + rng.choice(("", "b", "do", " ")) + last[k + 1 :]
+        return tuple(f"{first} {last}".split()) if rng.random() < 0.8 else tuple(f"{last} {first}".split())
+
+    def typo(words):
+        text = " ".join(words)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(text))
+            text = text[:k] + rng.choice(("", "b", "do", " ")) + text[k + rng.randint(0, 1) :]
+        return tuple(text.split()) or words
+
+    pairs = [(p, typo(p) if i % 2 else name()) for i, p in enumerate(name() for _ in range(6000))]
+    frame = spark.createDataFrame([(i, [list(p)], [list(q)]) for i, (p, q) in enumerate(pairs)], "i long, x array<array<string>>, y array<array<string>>")
+    passed = {r.i for r in frame.where(names.names_may_agree("x", "y")).collect()}
+    good = {i for i, (p, q) in enumerate(pairs) if names.name_score(p, q)[0] >= names.SAME_WORD}
+    assert len(good) > 100 and good <= passed and len(passed) < 6000
