@@ -45,6 +45,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def rehashed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many partitions as the session shuffles, two a core at least.
+
+    For aggregates whose result goes into Python: the number stands, where adaptive execution would
+    merge small partitions into few tasks, and an aggregate by the same keys needs no further shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(2 * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 class Scratch:
     """Tables that an iterative operator writes and drops again."""
 
