@@ -25,7 +25,7 @@ def _small_pairs(blocks: DataFrame) -> DataFrame:
 
 def _counted(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """``keys`` beside the rows ``n`` of their key; keys of one row leave."""
-    counts = scratch.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1"))
+    counts = scratch.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 1
     return scratch.keep(hot_split_join(keys, counts, ["key"], "n", total))
 
@@ -65,37 +65,45 @@ def _whole(alike: DataFrame, facts: DataFrame, apart: Callable[[Column, Column],
     return _tiled(across, apart).unionByName(_tiled(within, apart))
 
 
-def block_pairs(keys: DataFrame, limit: int = BLOCK_ROWS, first_limit: int | None = None, facts: DataFrame | None = None, apart: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def block_pairs(keys: DataFrame, facts: DataFrame, apart: Callable[[Column, Column], Column] | None = None, limit: int = BLOCK_ROWS) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids that share a blocking key.
 
-    ``keys`` has id (bigint), key (bigint) and refs (array<bigint>, other fields to refine by; may be
-    null or empty) with each (id, key) once. A key of more than ``first_limit`` rows (``limit`` when not
-    given) is refined: its rows
-    pair up where they share one of their refs as well. What is still too large after that is alike
-    in both respects. With ``facts`` it gives all its pairs as well, made in tiles: facts has id, twin
-    (bigint, equal for rows whose texts are equal, so that they share their keys and a ref) and fact,
-    by which ``apart`` drops those pairs of large blocks that the caller would drop anyway (it is given
-    the two facts, columns fi and fj).
-
-    Without facts the rows of such a block are only linked, for callers that need no more: each pairs
-    with the block's least id and the next by hash order within ``limit``-sized cells of it, so no row
-    leaves and no block grows quadratically, but most pairs are not given.
+    ``keys`` has id, key (bigint) and refs (array<bigint>, other fields to refine by; may be null or
+    empty) with each (id, key) once. A key of more than ``limit`` rows is refined: its rows pair up where
+    they share one of their refs as well. What is still too large after that is alike in both respects
+    and gives all its pairs as well, made in tiles: ``facts`` has id, twin (bigint, equal for rows whose
+    texts are equal, so that they share their keys and a ref) and fact, by which ``apart`` drops those
+    pairs of large blocks that the caller would drop anyway (it is given the two facts, columns fi and fj).
     """
     scratch = Scratch(keys.sparkSession)
-    first_limit = first_limit or limit
     keys = scratch.keep(keys)  # read three times, made once
     first = _counted(keys, scratch)
-    pairs = _small_pairs(first.where(F.col("n") <= first_limit))
-    wide = first.where(F.col("n") > first_limit)
+    pairs = _small_pairs(first.where(F.col("n") <= limit))
+    wide = first.where(F.col("n") > limit)
     refined = wide.select("id", F.explode("refs").alias("r"), "key").select("id", F.xxhash64("key", "r").alias("key")).distinct()
     second = _counted(refined, scratch)
     pairs = pairs.unionByName(_small_pairs(second.where(F.col("n") <= limit)))
     alike = second.where(F.col("n") > limit)
-    if facts is not None:
-        return pairs.unionByName(_whole(alike, facts, apart, scratch)).where("a <> b").distinct()
-    star = alike.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    cells = alike.select("id", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") * 4 / limit))).alias("key"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)).alias("o"))
-    # a cell holds limit / 4 rows on average; its rows pair along a chain in hash order
-    chain = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "id"))).alias("c"))
-    chain = chain.selectExpr("explode(transform(slice(c, 2, size(c)), (x, i) -> struct(least(x.id, c[i].id) AS a, greatest(x.id, c[i].id) AS b))) AS p").select("p.a", "p.b")
-    return pairs.unionByName(star).unionByName(chain).where("a <> b").distinct()
+    if alike.limit(1).count():
+        pairs = pairs.unionByName(_whole(alike, facts, apart, scratch))
+    return pairs.where("a <> b").distinct()
+
+
+def keyed_pairs(asks: DataFrame, answers: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a row of ``asks`` and one of ``answers`` (column, key) with equal keys.
+
+    A key that many rows ask for and answer is cut into TILE_ROWS-sized groups on either side, which
+    meet in tiles of their own, so that no pair is lost and no task holds a whole key.
+    """
+    asks, answers = scratch.keep(asks), scratch.keep(answers)
+    left, right = (t.groupBy("key").agg(F.count(F.lit(1)).alias(n)) for t, n in ((asks, "x"), (answers, "y")))
+    sizes = left.join(right, "key")
+    cut = scratch.keep(sizes.where(F.greatest("x", "y") > TILE_ROWS).select("key", *[F.ceil(F.col(c) / TILE_ROWS).cast("int").alias(c) for c in "xy"]))
+    met = asks.select("key", F.col(column).alias("i")).join(answers.select("key", F.col(column).alias("j")), "key")
+    if cut.limit(1).count():
+        met = asks.join(cut.select("key"), "key", "left_anti").select("key", F.col(column).alias("i")).join(answers.select("key", F.col(column).alias("j")), "key")
+        spot = F.xxhash64(column, F.lit(7))
+        p = asks.join(cut, "key").select("key", F.col(column).alias("i"), F.pmod(spot, "x").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("q"))
+        q = answers.join(cut, "key").select("key", F.col(column).alias("j"), F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("p"), F.pmod(spot, "y").cast("int").alias("q"))
+        met = met.select("i", "j").unionByName(p.join(q.hint("shuffle_merge"), ["key", "p", "q"]).select("i", "j"))
+    return met.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()

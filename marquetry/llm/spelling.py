@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
+
 from marquetry.llm.skeleton import skeleton
 
 # A letter-by-letter romanisation of Cyrillic.
@@ -66,3 +68,29 @@ def lcs_ratio(a: str, b: str) -> float:
     if a == b:
         return 1.0 if a else 0.0
     return 2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def lcs_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs_ratio`` of many pairs at once: the bit-parallel rows of all pairs advance together."""
+    out = np.zeros(len(a))
+    wide = np.array([len(x) > 60 for x in a], bool)
+    for i in np.flatnonzero(wide):
+        out[i] = lcs_ratio(a[i], b[i])
+    some = np.flatnonzero(~wide)
+    for part in np.array_split(some, max(1, len(some) // 4096)):
+        if not len(part):
+            continue
+        x, y = np.array([a[i] for i in part], "U"), np.array([b[i] for i in part], "U")
+        n, m = np.char.str_len(x), np.char.str_len(y)
+        x = np.ascontiguousarray(x).view(np.uint32).reshape(len(part), -1)
+        y = np.ascontiguousarray(y).view(np.uint32).reshape(len(part), -1)
+        powers = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+        full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+        row = full.copy()
+        for j in range(y.shape[1]):
+            mask = np.where((x == y[:, j : j + 1]) & (y[:, j : j + 1] > 0), powers, np.uint64(0)).sum(1, dtype=np.uint64)
+            hit = row & mask
+            row = ((row + hit) | (row - hit)) & full
+        common = n - np.bitwise_count(row)
+        out[part] = 2 * common / np.maximum(n + m, 1)
+    return out

@@ -12,6 +12,7 @@ import pytest
 from marquetry.llm import blocking, components, names, spelling, survivor, works
 from marquetry.llm.blocking import block_pairs
 from marquetry.llm.queries import ORACLE, QUERIES
+from marquetry.session import Scratch
 from tests.oracle import DATA, compare
 
 NOW = dt.datetime(2024, 1, 1)
@@ -52,13 +53,13 @@ def test_id_links_skip_placeholders_and_foreign_fields(spark):
     assert [tuple(r) for r in links.collect()] == [(2, 1)]
 
 
-def test_blocks_lose_no_row(spark):
-    rows = [(i, 7, [i % 5]) for i in range(300)] + [(i, 8, [1]) for i in range(400, 403)] + [(500, 9, None), (0, 8, [])]
-    got = {tuple(r) for r in block_pairs(spark.createDataFrame(rows, "id long, key long, refs array<long>"), limit=20).collect()}
-    assert set(combinations((0, 400, 401, 402), 2)) <= got
-    assert all(a < b for a, b in got) and len(got) < 300 * 20
-    assert {x for p in got for x in p} >= set(range(300))
-    assert block_pairs(spark.createDataFrame([], "id long, key long, refs array<long>")).count() == 0
+@pytest.mark.parametrize("size", [60, 400])
+def test_blocks_lose_no_pair(spark, size):
+    rows = [(i, 7, [1, 2]) for i in range(size)] + [(i, 8, [1]) for i in range(1400, 1403)] + [(1500, 9, None), (0, 8, [])]
+    facts = spark.createDataFrame([(i, i, 0) for i in {r[0] for r in rows}], "id long, twin long, fact int")
+    got = [tuple(r) for r in block_pairs(spark.createDataFrame(rows, "id long, key long, refs array<long>"), facts).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(combinations(range(size), 2)) | set(combinations((0, 1400, 1401, 1402), 2))
+    assert block_pairs(spark.createDataFrame([], "id long, key long, refs array<long>"), facts).count() == 0
 
 
 def test_large_blocks_give_all_their_pairs(spark, monkeypatch):
@@ -234,26 +235,53 @@ def test_rows_that_stand_for_others_vote_for_all_of_them(spark):
     assert {r.person_id: r.entity for r in got.collect()} == {1: 1, 2: 1, 3: 1, 5: 1, 6: 1}
 
 
-def test_the_bound_of_names_lets_every_match_pass(spark):
-    rng = random.Random(4)
+def random_name(rng):
     syllables = [c + v for c in "bdgkmnprst" for v in "aeiou"]
+    first, last = rng.choice(("alexander", "alex", "sandy", "joseph", "joe", "j", "tori", "bob", "robert")), "".join(rng.choice(syllables[:12]) for _ in range(rng.randint(1, 5)))
+    for _ in range(rng.randint(0, 3)):
+        k = rng.randrange(len(last) + 1)
+        last = last[:k] + rng.choice(("", "b", "do", " ")) + last[k + 1 :]
+    return tuple((f"{first} {last}" if rng.random() < 0.8 else f"{last} {first}").split())
+
+
+def typed(rng, words):
+    text = " ".join(words)
+    for _ in range(rng.randint(0, 3)):
+        k = rng.randrange(len(text))
+        text = text[:k] + rng.choice(("", "b", "do", " ")) + text[k + rng.randint(0, 1) :]
+    return tuple(text.split()) or words
 
-    def name():
-        first, last = rng.choice(("alexander", "alex", "sandy", "joseph", "joe", "j", "tori")), "".join(rng.choice(syllables[:12]) for _ in range(rng.randint(1, 5)))
-        for _ in range(rng.randint(0, 3)):
-            k = rng.randrange(len(last) + 1)
-            last = last[:k] + rng.choice(("", "b", "do", " ")) + last[k + 1 :]
-        return tuple(f"{first} {last}".split()) if rng.random() < 0.8 else tuple(f"{last} {first}".split())
-
-    def typo(words):
-        text = " ".join(words)
-        for _ in range(rng.randint(0, 4)):
-            k = rng.randrange(len(text))
-            text = text[:k] + rng.choice(("", "b", "do", " ")) + text[k + rng.randint(0, 1) :]
-        return tuple(text.split()) or words
-
-    pairs = [(p, typo(p) if i % 2 else name()) for i, p in enumerate(name() for _ in range(6000))]
-    frame = spark.createDataFrame([(i, [list(p)], [list(q)]) for i, (p, q) in enumerate(pairs)], "i long, x array<array<string>>, y array<array<string>>")
-    passed = {r.i for r in frame.where(names.names_may_agree("x", "y")).collect()}
-    good = {i for i, (p, q) in enumerate(pairs) if names.name_score(p, q)[0] >= names.SAME_WORD}
-    assert len(good) > 100 and good <= passed and len(passed) < 6000
+
+def test_name_candidates_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(names, "COMMON_WORD", 6)
+    monkeypatch.setattr(blocking, "TILE_ROWS", 10)
+    rng = random.Random(4)
+    base = [random_name(rng) for _ in range(250)]
+    texts = sorted({n for b in base for n in (b, typed(rng, b), typed(rng, b))})
+    frame = spark.createDataFrame([(i, "person", list(n), 0) for i, n in enumerate(texts)], "nid long, kind string, words array<string>, a int")
+    pairs, _ = names.name_pairs(frame, Scratch(spark))
+    got = {tuple(r) for r in pairs.collect()}
+    good = {(i, j) for i, j in combinations(range(len(texts)), 2) if (s := names.name_score(texts[i], texts[j]))[0] >= names.SAME_WORD and s[1]}
+    assert len(good) > 300 and len(good & got) / len(good) >= 0.93
+    assert all(a < b for a, b in got) and len(got) < len(texts) ** 2 / 8
+
+
+def test_word_pairs_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = sorted({w for _ in range(400) for n in [random_name(rng)] for w in (*n, *typed(rng, n))})
+    got = {tuple(r) for r in names.similar_words(spark.createDataFrame([(w,) for w in words], "w string"), Scratch(spark)).collect()}
+    good = {(a, b) for a, b in combinations(words, 2) if min(len(a), len(b)) > 3 and (spelling.lcs_ratio(a, b) >= names.SAME_WORD or names.swapped(a, b))}
+    assert got <= good and len(got) / len(good) >= 0.95
+
+
+def test_short_names_are_linked(spark):
+    rows = [(i, n, "person", None, None, b, None, "tmdb", "", NOW, "x") for i, (n, b) in enumerate([("Bob Hill", None), ("Robert Hill", None), ("John Ford", "1950-01-01"), ("Jonh Ford", "1950-01-01"), ("Jon Ford", "1931-05-05"), ("Li", None), ("Li", ""), ("Wu", None)])]
+    got = {r.person_id: r.entity for r in names.entities(spark.createDataFrame(rows, PERSON)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 5: 5, 6: 5}
+
+
+def test_many_ratios_equal_single_ones():
+    rng = random.Random(3)
+    a, b = [["".join(rng.choice("abcdé王") for _ in range(rng.randint(0, 70))) for _ in range(300)] for _ in "ab"]
+    assert np.allclose(spelling.lcs_ratios(a, b), [spelling.lcs_ratio(x, y) for x, y in zip(a, b)])
+    assert len(spelling.lcs_ratios([], [])) == 0
