@@ -1,6 +1,6 @@
 """Problem 9: evaluation texts inside training texts, in spite of edits.
 
-Texts become word codes. Windows of item size walk through a CGK embedding (Chakraborty, Goldenberg,
+Texts become word codes. Windows sized by the item walk through a CGK embedding (Chakraborty, Goldenberg,
 Koucký, 2016): a cursor emits the word under it at every step and moves on by a random bit of step and
 word, so two windows within a few word edits emit the same words at most steps. Repeated bit-sampling
 LSH buckets the emitted words; windows that share a bucket with an item's are candidates, and an exact
@@ -9,6 +9,7 @@ alignment of words decides. Windows start at every word of every document and it
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -21,15 +22,20 @@ from pyspark.sql import functions as F
 
 from marquetry.llm.skeleton import skeleton
 from marquetry.llm.tokens import slices, spread
+from marquetry.session import Scratch
 
 #: Share of an item's words that must stand in a row.
 LEAK_SHARE = 1 / 3
-#: Words of a window at most (a third of a short item, where that is less).
-WINDOW = 10
+#: Sizes of windows: an item's is the largest that fits into the part of its shortest passage below.
+WINDOWS = (*range(1, 11), 13, 17, 22, 29, 38, 50, 65)
+#: Share of the shortest passage that a window takes, so that several start in it; ten words fit anyway.
+WINDOW_SHARE, SHORT_PASSAGE = 0.6, 10
 #: Independent walks, sampled bucket keys of each, steps sampled for a key.
 WALKS, KEYS, SAMPLED = 4, 4, 5
 #: Words of a window that a candidate must share with the item's window before it is aligned.
 SHARED = 0.6
+#: Alignment score (equal words less edits) that a passage has a word at least.
+LIKENESS = 0.3
 #: Words of a passage that must stand within DRIFT words of a hit's diagonal before it is aligned.
 DENSE, DRIFT = 0.65, 6
 #: Evaluation items handled in one pass over the documents.
@@ -54,6 +60,13 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def window_of(n_words: int, share: float = LEAK_SHARE) -> int:
+    """Words of the windows of an item of ``n_words``."""
+    passage = max(1, int(np.ceil(n_words * share)))
+    room = max(min(passage, SHORT_PASSAGE), int(passage * WINDOW_SHARE))
+    return max(w for w in WINDOWS if w <= room)
+
+
 @dataclass
 class Index:
     """Bucket keys of a block of items."""
@@ -145,7 +158,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def dense(index: Index, codes: np.ndarray, bounds: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, share: float) -> np.ndarray:
     """Which hits have DENSE of the words of some ``share`` of their item near the hit's diagonal.
 
-    A passage of that length with single words changed, added or left out always has.
+    An accepted passage has more equal words than edits by LIKENESS of its words, so at least
+    (1 + LIKENESS) / 2 = DENSE of them are equal; they stand near the diagonal unless more than DRIFT
+    words were added or left out on balance.
     """
     out = np.zeros(len(p), bool)
     lengths = np.array([len(x) for x in index.items])
@@ -170,8 +185,8 @@ def dense(index: Index, codes: np.ndarray, bounds: np.ndarray, doc: np.ndarray,
     return out
 
 
-def search(index: Index, docs: list[list[str]], share: float = LEAK_SHARE) -> list[tuple[int, int, int, int]]:
-    """(document, item, words spanned, alignment score) of all candidates."""
+def search(index: Index, docs: list[list[str]], share: float = LEAK_SHARE) -> list[tuple[int, int, int, int, int]]:
+    """(document, item, words spanned, alignment score, words of the item) of all candidates."""
     w, lookup = index.window, index.vocabulary
     blank = [0] * _pad(w)
     flat: list[int] = []
@@ -224,7 +239,7 @@ def search(index: Index, docs: list[list[str]], share: float = LEAK_SHARE) -> li
         for group in np.split(p[a:b], np.flatnonzero(np.diff(p[a:b]) > 2 * reach) + 1):
             text = codes[max(bounds[d], group[0] - reach) : min(bounds[d + 1], group[-1] + w + reach)]
             best = max(best, align(item, text))
-        out.append((int(d), index.ids[i], best[0], best[1]))
+        out.append((int(d), index.ids[i], best[0], best[1], len(item)))
     return out
 
 
@@ -233,35 +248,42 @@ def leaks(df: DataFrame, evals: DataFrame, key: str = "doc_id", text: str = "tex
 
     ``spanned`` is how many of the item's ``n_words`` the aligned passage covers; single words in it
     may be changed, added or left out. Null, empty and wordless texts and items leak nothing; repeated
-    rows give one row each pair. The items are read in blocks of BLOCK_ITEMS (all of a table of a few
-    hundred in one): only a block's index is sent to the tasks, and every block is held against all
-    documents, which are never shuffled.
+    rows give one row each pair. Items are divided by hash into blocks of about BLOCK_ITEMS (a table of
+    a few hundred is one block), and each block is a pass of its own over the documents, which are
+    never shuffled: only one block's items are with the driver and the tasks at a time.
     """
-    blocks: list[tuple[int, list[tuple[int, list[str]]]]] = []
-    open_blocks: dict[int, list[tuple[int, list[str]]]] = {}
-    for row in evals.select(F.col(eval_key).cast("bigint"), F.col(eval_text).cast("string")).where(F.col(eval_text).isNotNull()).distinct().toLocalIterator():
-        ws = words(row[1])
-        if row[0] is None or not ws:
-            continue
-        window = max(1, min(WINDOW, int(np.ceil(len(ws) * share))))
-        open_blocks.setdefault(window, []).append((row[0], ws))
-        if len(open_blocks[window]) == BLOCK_ITEMS:
-            blocks.append((window, open_blocks.pop(window)))
-    blocks += sorted(open_blocks.items())
-    schema = f"{key} bigint, {eval_key} bigint, spanned int, n_words int"
+    asked = evals.select(F.col(eval_key).cast("bigint").alias("i"), F.col(eval_text).cast("string").alias("t")).where("i is not null and t <> ''").distinct()
     picked = spread(df.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("t")).where("t <> ''"))
+    scratch = Scratch(df.sparkSession)
+    blocks = -(-asked.count() // BLOCK_ITEMS)
+    if blocks > 1:
+        asked = scratch.keep(asked)
+    passes = []
+    for number in range(max(blocks, 1)):
+        rows = asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number)
+        found = _pass(picked, [(r.i, ws) for r in rows.collect() if (ws := words(r.t))], key, eval_key, share)
+        passes.append(found if blocks <= 1 else scratch.keep(found))
+    found = functools.reduce(DataFrame.unionByName, passes)
+    return found.groupBy(key, eval_key).agg(F.max("spanned").alias("spanned"), F.max("n_words").alias("n_words"))
+
+
+def _pass(docs: DataFrame, items: list[tuple[int, list[str]]], key: str, eval_key: str, share: float) -> DataFrame:
+    """Hits of one block of items (id, words) in documents (key, t)."""
+    by_window: dict[int, list[tuple[int, list[str]]]] = {}
+    for item, ws in sorted(items):
+        by_window.setdefault(window_of(len(ws), share), []).append((item, ws))
+    groups = sorted(by_window.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [build(items, window) for window, items in blocks]
-        sizes = [{i: len(ws) for i, ws in items} for _, items in blocks]
+        indexes = [build(part, window) for window, part in groups]
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
-                docs = [words(t) for t in texts.slice(a, b - a).to_pylist()]
-                for index, size in zip(indexes, sizes):
-                    hits = [(d, i, s, size[i]) for d, i, s, score in search(index, docs, share) if s >= share * size[i] and score >= 0.3 * s]
+                found = [words(t) for t in texts.slice(a, b - a).to_pylist()]
+                for index in indexes:
+                    hits = [hit for hit in search(index, found, share) if hit[2] >= share * hit[4] and hit[3] >= LIKENESS * hit[2]]
                     if hits:
-                        rows, items, spans, n = zip(*hits)
-                        yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(rows)), pa.array(items, pa.int64()), pa.array(spans, pa.int32()), pa.array(n, pa.int32())], names=[key, eval_key, "spanned", "n_words"])
+                        rows, ids, spans, _, n = zip(*hits)
+                        yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(pa.array(rows)), pa.array(ids, pa.int64()), pa.array(spans, pa.int32()), pa.array(n, pa.int32())], names=[key, eval_key, "spanned", "n_words"])
 
-    return picked.mapInArrow(run, schema).groupBy(key, eval_key).agg(F.max("spanned").alias("spanned"), F.max("n_words").alias("n_words"))
+    return docs.mapInArrow(run, f"{key} bigint, {eval_key} bigint, spanned int, n_words int")
