@@ -186,40 +186,47 @@ def _unwrap(bodies: pa.Array, tokens: Tokens) -> tuple[np.ndarray, list[str]]:
     candidate = np.flatnonzero((tokens.kind == STRING) & tokens.is_value & tokens.ok[tokens.doc]) if len(tokens.kind) else np.zeros(0, np.int64)
     first = tokens.data[np.minimum(tokens.pos[candidate] + 1, len(tokens.data) - 1)]
     candidate = candidate[np.isin(first, np.frombuffer(b"{[ \\\xef", np.uint8)) & (tokens.end[candidate] - tokens.pos[candidate] > 2)]
+    inner = pc.utf8_trim(tokens.strings(candidate), " \t\r\n\ufeff")
+    # a string in a string, too, when brackets stand in it
+    opens = pc.match_substring_regex(inner, r'^(?:[\[{]|"[^\[{]*[\[{])').to_numpy(zero_copy_only=False)
+    candidate, inner = candidate[opens], inner.filter(pa.array(opens))
+    whole = Tokens(inner).ok if len(inner) else np.zeros(0, bool)
     cuts: dict[int, list[tuple[int, int, str]]] = {}
-    for t, inner in zip(candidate, tokens.strings(candidate).to_pylist()):
-        inner = inner.strip("﻿ \t\r\n")
-        if inner[:1] not in ("{", "["):
-            continue
-        try:
-            json.loads(inner)
-        except ValueError:
-            continue
-        cuts.setdefault(int(tokens.doc[t]), []).append((int(tokens.pos[t]), int(tokens.end[t]) + 1, inner))
+    for t, text in zip(candidate[whole], inner.filter(pa.array(whole)).to_pylist()):
+        cuts.setdefault(int(tokens.doc[t]), []).append((int(tokens.pos[t]), int(tokens.end[t]) + 1, text))
     if not cuts:
         return np.zeros(0, np.int64), []
     lengths = np.r_[0, np.cumsum(np.asarray(pc.binary_length(bodies)) + 1)]
     texts = []
     for d in sorted(cuts):
         begin, stop, parts = int(lengths[d]), int(lengths[d + 1]) - 1, []
-        for s, e, inner in cuts[d]:
-            parts += [tokens.data[begin:s].tobytes(), inner.encode()]
+        for s, e, text in cuts[d]:
+            parts += [tokens.data[begin:s].tobytes(), text.encode()]
             begin = e
         texts.append(b"".join([*parts, tokens.data[begin:stop].tobytes()]).decode("utf-8", "replace"))
     return np.array(sorted(cuts), np.int64), texts
 
 
-def _flatten(bodies: pa.Array, endpoints: pa.Array, own: pa.Array, children: list[Child], depth: int = 0) -> list[tuple[np.ndarray, pa.Array, pa.Array, pa.Array]]:
-    """(row, kind, parent id, child id) arrays of a batch; row counts within the batch."""
-    tokens = Tokens(bodies)
-    out = []
-    if depth < 8:
+def _flatten(bodies: pa.Array, endpoints: pa.Array, own: pa.Array, children: list[Child]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, pa.Array]]:
+    """(row, kind, parent id, child id) arrays of a batch; row counts within the batch.
+
+    Documents that hold JSON inside strings are opened and come round again until none is left to open;
+    each round takes quotes and escapes away, so the rounds end.
+    """
+    rows = np.arange(len(bodies))
+    while len(bodies):
+        tokens = Tokens(bodies)
         again, texts = _unwrap(bodies, tokens)
-        if len(again):
-            tokens.ok[again] = False
-            rows = pa.array(again)
-            for row, *rest in _flatten(pa.array(texts, pa.large_string()), endpoints.take(rows), own.take(rows), children, depth + 1):
-                out.append((again[row], *rest))
+        tokens.ok[again] = False
+        for row, *rest in _children(tokens, endpoints, own, children):
+            yield rows[row], *rest
+        taken = pa.array(again)
+        rows, bodies, endpoints, own = rows[again], pa.array(texts, pa.large_string()), endpoints.take(taken), own.take(taken)
+
+
+def _children(tokens: Tokens, endpoints: pa.Array, own: pa.Array, children: list[Child]) -> list[tuple[np.ndarray, pa.Array, pa.Array, pa.Array]]:
+    """(row, kind, parent id, child id) arrays of documents in which nothing is left to open."""
+    out: list[tuple[np.ndarray, pa.Array, pa.Array, pa.Array]] = []
     if not len(tokens.kind) or not tokens.ok.any():
         return out
     kind, parent, level, n = tokens.kind, tokens.parent, tokens.level, len(tokens.kind)

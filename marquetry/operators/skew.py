@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_SHARE of the rows: at most HOT_SHARE keys can be.
 HOT_SHARE = 2000
+#: Rows of one key that a task bears beside others.
+TASK_ROWS = 100_000
 
 
-def hot_split_join(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def hot_split_join(many: DataFrame, one: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", largest: int | None = None) -> DataFrame:
     """Join ``many`` to ``one`` (one row a key) without sending a hot key to one task.
 
     ``one`` holds in column ``weight`` how many rows of ``many`` its key has, and ``total`` is their
@@ -17,9 +19,13 @@ def hot_split_join(many: DataFrame, one: DataFrame, keys: list[str], weight: str
     bound is HOT_SHARE rows whatever the data); all other keys go through a shuffle join. The rows of
     hot keys leave the shuffled side before it is shuffled. Keys must not be null in ``one``; rows of
     ``many`` with a null key match nothing and are dropped (inner) or kept without match (left).
+    Callers that know the ``largest`` weight say so: a key of no more than TASK_ROWS rows fills no task,
+    and without larger ones the join is a plain one, with the same rows.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
+    if largest is not None and largest <= TASK_ROWS:
+        return many.join(one, keys, how)
     limit = max(1, total // HOT_SHARE)
     hot = one.where(F.col(weight) > limit)
     rest = one.where(F.col(weight) <= limit)

@@ -1,11 +1,11 @@
 """Per-key aggregates by a tree of partial states.
 
 A plain ``groupBy(key)`` hands one reducer a partial state of every input chunk for each hot key:
-with a million chunks, a million states of one key. Here the input's splits are the fixed-size
-chunks; each is combined where it is read (map-side), and the states climb in rounds. Round *r*
-groups by (key, chunk // fan_in**r), so no reducer ever merges more than ``fan_in`` states of a key,
-and ``log(chunks, fan_in)`` rounds end with one state a key. A round shuffles one state per key and
-group, which for hot keys is a fan_in-th of the round before.
+with a million chunks, a million states of one key. Here the input is cut into chunks of a fixed number
+of rows; each is combined where it is read (map-side), and the states climb in rounds. A round groups
+by (key, part of the chunk's number), each part standing for ``fan_in`` of the round before, so no
+reducer merges more than about ``fan_in`` states of a key, and ``log(chunks, fan_in)`` rounds, two at
+least, end with one state a key.
 """
 
 from __future__ import annotations
@@ -18,6 +18,12 @@ _BEGIN = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+#: Rows of a chunk, and bytes that its rows take at least (for an estimate of the number of chunks).
+CHUNK_ROWS, CHUNK_BYTES = 65_536, 65_536
+#: Rounds at most, where the optimizer knows no size: enough for fan_in**6 chunks.
+MOST_ROUNDS = 6
+
+
 def rounds(chunks: int, fan_in: int) -> int:
     """Rounds that bring ``chunks`` states of a key down to one."""
     n, reach = 1, fan_in
@@ -26,6 +32,11 @@ def rounds(chunks: int, fan_in: int) -> int:
     return n
 
 
+def estimated_chunks(df: DataFrame) -> int:
+    """Chunks of ``df`` by the optimizer's estimate of its size, for which no job runs."""
+    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // CHUNK_BYTES)
+
+
 def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[str, Column | str]], fan_in: int = 64) -> DataFrame:
     """One row per distinct ``keys`` with the named ``states``, e.g. ``{"n": ("count", "*")}``.
 
@@ -39,17 +50,12 @@ def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[str,
     if clash:
         raise ValueError(f"state names clash with keys: {sorted(clash)}")
     picked = df.select(*[F.col(k) for k in keys], *[(F.lit(1) if col == "*" else F.col(col) if isinstance(col, str) else col).alias(f"__in_{name}") for name, (_, col) in states.items()])
-    chunks = picked.rdd.getNumPartitions()
-    depth = rounds(chunks, fan_in)
-    level = picked.withColumn("__chunk", F.spark_partition_id())
-    first = True
-    for r in range(depth):
-        last = r == depth - 1
-        group = [*keys] if last else [*keys, (F.col("__chunk") / F.lit(fan_in)).cast("int").alias("__chunk")]
-        if first:
-            aggs = [_BEGIN[kind](F.col(f"__in_{name}")).alias(name) for name, (kind, _) in states.items()]
-        else:
-            aggs = [_MERGE[kind](F.col(name)).alias(name) for name, (kind, _) in states.items()]
-        level = level.groupBy(*group).agg(*aggs)
-        first = False
+    depth = min(max(2, rounds(estimated_chunks(picked), fan_in)), MOST_ROUNDS)
+    row = F.monotonically_increasing_id()  # partition and row within it
+    level = picked.withColumn("__chunk", F.pmod(F.xxhash64((row / F.lit(CHUNK_ROWS)).cast("bigint")), F.lit(fan_in ** (depth - 1))))
+    aggs = [_BEGIN[kind](F.col(f"__in_{name}")).alias(name) for name, (kind, _) in states.items()]
+    merges = [_MERGE[kind](F.col(name)).alias(name) for name, (kind, _) in states.items()]
+    for r in reversed(range(depth)):
+        group = [*keys, F.pmod("__chunk", F.lit(fan_in**r)).alias("__chunk")] if r else keys
+        level = level.groupBy(*group).agg(*(aggs if r == depth - 1 else merges))
     return level

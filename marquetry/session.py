@@ -7,13 +7,16 @@ state; only a session that names none (a local test) gets a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -41,6 +44,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         found = tempfile.mkdtemp(prefix="marquetry-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -56,12 +60,27 @@ def rehashed(df: DataFrame, *keys: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables that an iterative operator writes and drops again."""
+    """Tables that an operator writes between its steps.
+
+    ``drop`` deletes one that nothing reads any more. What a result still reads stays until the session
+    ends: lazily evaluated rows need it, and Spark gives no sign when they are done with. Roots are
+    deleted when the driver exits.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/marquetry-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Delete all tables of this scratch; harmless when the session is over already."""
+        with contextlib.suppress(Exception):
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: the same rows without their lineage."""
@@ -72,13 +91,17 @@ class Scratch:
         kept._scratch_path = path  # type: ignore[attr-defined]
         return kept
 
+    def measured(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, object]]:
+        """``keep``, and aggregates of the rows taken while they are written, without another job."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, *[c.alias(n) for n, c in figures.items()]))
+        return kept, seen.get
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
 
 
 def ship(spark: SparkSession) -> None:

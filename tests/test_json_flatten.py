@@ -25,6 +25,15 @@ def test_shows_however_deep_or_wrapped(spark):
     assert got == [(i, "show", "9", "7") for i in (0, 1, 2, 4, 5)]
 
 
+def test_json_in_strings_is_opened_to_any_depth(spark):
+    body = [{"_embedded": {"show": {"id": 7}}}]
+    rows = []
+    for depth in range(13):
+        rows.append((depth, "person_castcredits", "k", json.dumps(body)))
+        body = {"x": json.dumps(body)} if depth % 2 else json.dumps(body)
+    assert found(spark, *rows) == [(i, "show", "k", "7") for i in range(13)]
+
+
 def test_recordings_and_sections(spark):
     release = {"id": "r", "media": [{"id": "m", "tracks": {"id": "t", "recording": {"id": "a"}}, "pregap": {"recording": {"id": "b"}}, "data-tracks": [{"recording": {"id": "c"}}, {"recording": None}]}, {"tracks": [{"recording": {"id": "no parent"}}]}]}
     book = {"books": {"0": {"id": 1, "sections": [{"id": "s1"}, {"id": ""}, {"id": True}]}, "1": {"id": "2", "sections": {"id": 3}}}}
