@@ -25,9 +25,8 @@ def _small_pairs(blocks: DataFrame) -> DataFrame:
 
 def _counted(keys: DataFrame, scratch: Scratch) -> DataFrame:
     """``keys`` beside the rows ``n`` of their key; keys of one row leave."""
-    counts = scratch.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    return scratch.keep(hot_split_join(keys, counts, ["key"], "n", total))
+    counts, seen = scratch.measured(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), total=F.sum("n"), largest=F.max("n"))
+    return scratch.keep(hot_split_join(keys, counts, ["key"], "n", seen["total"] or 1, largest=seen["largest"] or 0))
 
 
 def _tiled(blocks: DataFrame, apart: Callable[[Column, Column], Column] | None) -> DataFrame:
@@ -55,13 +54,13 @@ def _whole(alike: DataFrame, facts: DataFrame, apart: Callable[[Column, Column],
     rows = scratch.keep(alike.select("id", "key").join(facts, "id"))
     shape = [F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.sum(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 31))).alias("y")]
     shapes = rows.groupBy("key").agg(*shape, (F.min("twin") < F.max("twin")).alias("mixed")).where("mixed")
-    mixed = scratch.keep(shapes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
+    sizes = {"total": F.sum("n"), "largest": F.max("n")}
+    mixed, seen = scratch.measured(shapes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), **sizes)
     twins = scratch.keep(rows.select("id", F.col("twin").alias("key"), "twin", "fact").distinct())
-    counts = scratch.keep(twins.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = lambda t: t.agg(F.sum("n")).first()[0] or 1
+    counts, same = scratch.measured(twins.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), **sizes)
     columns = ["id", "key", "n", "twin", "fact"]
-    across = hot_split_join(rows, mixed, ["key"], "n", total(mixed)).select(*columns, F.lit(False).alias("same"))
-    within = hot_split_join(twins, counts, ["key"], "n", total(counts)).select(*columns, F.lit(True).alias("same"))
+    across = hot_split_join(rows, mixed, ["key"], "n", seen["total"] or 1, largest=seen["largest"] or 0).select(*columns, F.lit(False).alias("same"))
+    within = hot_split_join(twins, counts, ["key"], "n", same["total"] or 1, largest=same["largest"] or 0).select(*columns, F.lit(True).alias("same"))
     return _tiled(across, apart).unionByName(_tiled(within, apart))
 
 

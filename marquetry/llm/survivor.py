@@ -15,23 +15,27 @@ from marquetry.session import Scratch
 
 #: Reliability that every source starts from, and the range it stays in.
 START, LOW, HIGH = 0.8, 0.05, 0.95
+#: Rounds after which reliabilities move half the way.
+DAMPED = 10
 #: Sources held beside every task; more than that go through a shuffle join.
 BROADCAST_SOURCES = 10_000
 
 
-def discover(claims: DataFrame, tolerance: float = 0.005, max_rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def discover(claims: DataFrame, tolerance: float = 0.005, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """(winners, reliabilities) of ``claims`` (object, field, source, value, priority, ref).
 
     ``winners`` has one row per object and field: value, support, priority and ref (the largest ref
     among the claims of highest priority for that value; a struct may rank them). Null values are no
     claims. Ties in priority and support go to the larger ref. An empty input gives no rows.
     ``priority`` may be any orderable type, nulls lowest. Each step is a pre-aggregated groupBy, so
-    an object or source that holds a third of the claims fills no task.
+    an object or source that holds a third of the claims fills no task. Rounds go on until no
+    reliability moves by ``tolerance``; after DAMPED of them a source moves half the way only, which ends
+    a swing between two states. Raises when ``max_rounds`` do not suffice.
     """
     scratch = Scratch(claims.sparkSession)
     rows = scratch.keep(claims.select("object", "field", "source", "value", "priority", "ref").where("value is not null"))
-    trust = scratch.keep(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("reliability", F.lit(START)))
-    sources = trust.count()
+    trust, seen = scratch.measured(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("reliability", F.lit(START)), sources=F.count(F.lit(1)))
+    sources = seen["sources"]
 
     def beside(t: DataFrame) -> DataFrame:
         return F.broadcast(t) if sources <= BROADCAST_SOURCES else t
@@ -46,18 +50,20 @@ def discover(claims: DataFrame, tolerance: float = 0.005, max_rounds: int = 8) -
         best = votes.groupBy("object", "field").agg(F.max(F.struct("priority", "support", F.col("top.ref").alias("ref"), "value")).alias("b"))
         return best.select("object", "field", "b.value", "b.support", "b.priority", "b.ref")
 
-    for _ in range(max_rounds):
+    for number in range(max_rounds):
         leading = lead(vote(trust)).select("object", "field", F.col("value").alias("truth"))
         # a claim is right when its value leads: votes per (object, field, value, source) need no join back
         judged = rows.select("object", "field", "source", "value").join(leading, ["object", "field"])
         fresh = judged.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") == F.col("truth")).cast("double")).alias("r"))
-        fresh = scratch.keep(fresh.select("source", "n", F.least(F.greatest("r", F.lit(LOW)), F.lit(HIGH)).alias("reliability")))
-        moved = fresh.join(beside(trust.select("source", F.col("reliability").alias("was"))), "source").agg(F.max(F.abs(F.col("reliability") - F.col("was")))).first()[0]
+        fresh = fresh.join(beside(trust.select("source", F.col("reliability").alias("was"))), "source")
+        to = F.least(F.greatest("r", F.lit(LOW)), F.lit(HIGH))
+        fresh, seen = scratch.measured(fresh.select("source", "n", "was", (to if number < DAMPED else (to + F.col("was")) / 2).alias("reliability")), moved=F.max(F.abs(F.col("reliability") - F.col("was"))))
         scratch.drop(trust)
-        trust = fresh
-        if moved is None or moved < tolerance:
-            break
-    return lead(vote(trust)), trust
+        trust = fresh.drop("was")
+        trust._scratch_path = fresh._scratch_path  # type: ignore[attr-defined]
+        if seen["moved"] is None or seen["moved"] < tolerance:
+            return lead(vote(trust)), trust
+    raise RuntimeError(f"reliabilities did not settle in {max_rounds} rounds")
 
 
 # Words and signs that stand for "no value" (compared in lower case, trimmed).
