@@ -31,16 +31,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.entity_pairs(p3_entities(spark, folder))
 
 
+def _look_alike_texts(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [table(spark, folder, name, "pk", column).select(F.lit(f"{name}.{column}").alias("field"), "pk", F.col(column).alias("text")) for name, column in LOOK_ALIKE_TEXTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of pk whose titles or norms read the same to the eye but differ in characters."""
-    parts = [skeleton.look_alikes(table(spark, folder, name, "pk", column), "pk", column).select(F.lit(f"{name}.{column}").alias("field"), "pk_a", "pk_b") for name, column in LOOK_ALIKE_TEXTS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return skeleton.look_alikes(_look_alike_texts(spark, folder), "pk", "text", by="field")
 
 
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every title and norm in its consistent form."""
-    parts = [table(spark, folder, name, "pk", column).select(F.lit(f"{name}.{column}").alias("field"), "pk", F.col(column).alias("text")) for name, column in LOOK_ALIKE_TEXTS]
-    return skeleton.consistent_form(parts[0].unionByName(parts[1]).unionByName(parts[2]), "text", "form")
+    return skeleton.with_skeletons(_look_alike_texts(spark, folder), "text", "form", composed=True)
 
 
 def _claims(spark: SparkSession, folder: str) -> DataFrame:

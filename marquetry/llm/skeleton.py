@@ -8,19 +8,30 @@ letters survive, because they differ to the eye.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from marquetry.llm.blocking import TILE_ROWS
+from marquetry.llm.tokens import spread
+from marquetry.session import Scratch
 
 # Letters of other scripts drawn like a Latin letter, as (letters, prototypes).
 LOOK_ALIKES = (
     ("аԁеһіјӏорԛсѕуѵԝх", "adehijlopqcsyvwx"),  # Cyrillic small
-    ("АВЕНІЈКМОРЅСТХԌԜ", "ABEHIJKMOPSCTXGW"),  # Cyrillic capital
-    ("ονϲ", "ovc"),  # Greek small
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),  # Greek capital
-    ("ոսօ", "nuo"),  # Armenian small
+    ("АВЕНІЈКМОРЅСТХԌԜУѴ", "ABEHIJKMOPSCTXGWYV"),  # Cyrillic capital
+    ("αγινορυϲϳ", "ayivopucj"),  # Greek small
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek capital
+    ("ոսօհգցք", "nuohqgf"),  # Armenian small
+    ("ՍՏՕ", "USO"),  # Armenian capital
+    ("ᎠᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏙᏚᏞᏟᏢᏦᏴ", "DTAJEWMHYGZRVSLCPKB"),  # Cherokee
+    ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "HIKMNOPCTYX"),  # Coptic capital
+    ("ⲟⲣⲥ", "opc"),  # Coptic small
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
     ("ɑɡ", "ag"),  # Latin alpha and script g
     ("‐‑﹣－", "----"),  # hyphens
     ("‘’ʼ＇", "''''"),  # apostrophes
@@ -65,39 +76,44 @@ def skeleton(text: str | None) -> str | None:
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_TABLE)).strip()
 
 
-@F.pandas_udf(StringType())
-def _skeletons(texts: pd.Series) -> pd.Series:
-    return texts.map(skeleton, na_action="ignore")
-
+def skeletons(texts: pa.Array) -> pa.Array:
+    """``skeleton`` of every text of a batch; plain ASCII never leaves Arrow, other texts are treated once each."""
+    ascii_only = pc.string_is_ascii(texts)
+    plain = pc.replace_substring_regex(pc.if_else(ascii_only, texts, None), r"[\t-\r\x1c-\x1f]", " ")
+    plain = pc.utf8_trim(pc.replace_substring_regex(plain, r"[\x00-\x08\x0e-\x1b\x7f]", ""), " ")
+    rest = pc.if_else(ascii_only, None, texts).dictionary_encode()
+    formed = pa.array([skeleton(t) for t in rest.dictionary.to_pylist()], texts.type).take(rest.indices)
+    return pc.coalesce(plain, formed)
 
-def skeleton_column(text: Column) -> Column:
-    """Skeleton of a text column."""
-    return _skeletons(text)
 
+def with_skeletons(df: DataFrame, text: str, out: str, composed: bool = False) -> DataFrame:
+    """``df`` with ``out``, the skeleton of ``text`` (``composed``: in its composed form); null stays null."""
 
-def look_alikes(df: DataFrame, key: str, text: str, salts: int = 16) -> DataFrame:
-    """Pairs (key_a, key_b), smaller first, whose texts read the same and differ in characters.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            formed = skeletons(batch.column(text))
+            if composed:
+                formed = pc.utf8_normalize(formed, "NFC")
+            yield pa.RecordBatch.from_arrays([*batch.columns, formed], names=[*batch.schema.names, out])
 
-    ``df`` may hold a key with several texts, repeated rows, null and empty texts (neither reads like
-    anything: no pair) and any other columns. Skeletons with one spelling, however many rows they
-    have, leave after a pre-aggregated test; of the rest each key-text row meets the rows of its
-    skeleton spread over ``salts`` tasks.
-    """
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and k is not null").distinct()
-    forms = rows.withColumn("s", skeleton_column(F.col("t"))).where("s <> ''")
-    mixed = forms.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("s")
-    kept = forms.join(mixed, "s", "left_semi")
-    left = kept.withColumn("salt", F.pmod(F.xxhash64("k", "t"), F.lit(salts)).cast("int"))
-    right = kept.select("s", F.col("k").alias("k2"), F.col("t").alias("t2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pairs = left.join(right.hint("shuffle_hash"), ["s", "salt"]).where("k < k2 and t <> t2")
-    return pairs.select(F.col("k").alias(f"{key}_a"), F.col("k2").alias(f"{key}_b")).distinct()
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
-def consistent_form(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the composed skeleton of ``text``, equal for all texts that read the same."""
+def look_alikes(df: DataFrame, key: str, text: str, by: str | None = None) -> DataFrame:
+    """Pairs ([by,] key_a, key_b), smaller first, whose texts read the same and differ in characters.
 
-    @F.pandas_udf(StringType())
-    def composed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFC", skeleton(t)), na_action="ignore")
-
-    return df.withColumn(out, composed(F.col(text)))
+    With ``by`` only rows equal in that column are held together. ``df`` may hold a key with several
+    texts, repeated rows, null and empty texts (neither reads like anything: no pair) and any other
+    columns. Each text's skeleton is made once. Skeletons with one spelling, however many rows they
+    have, leave after a pre-aggregated test; of the rest, rows of one skeleton are cut into groups of
+    TILE_ROWS, and every two groups meet in a task of their own.
+    """
+    scratch = Scratch(df.sparkSession)
+    rows = df.select(F.col(by).alias("f") if by else F.lit("").alias("f"), F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and k is not null")
+    forms = scratch.keep(with_skeletons(spread(rows), "t", "s").where("s <> ''"))
+    mixed = forms.groupBy("f", "s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    kept = scratch.keep(forms.join(mixed.select("f", "s", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("g")), ["f", "s"]).distinct().withColumn("spot", F.pmod(F.xxhash64("k"), "g").cast("int")))
+    left = kept.select("f", "s", F.col("spot").alias("p"), F.explode(F.sequence("spot", F.col("g") - 1)).alias("q"), F.col("k").alias("k1"), F.col("t").alias("t1"))
+    right = kept.select("f", "s", F.explode(F.sequence(F.lit(0), "spot")).alias("p"), F.col("spot").alias("q"), F.col("k").alias("k2"), F.col("t").alias("t2"))
+    pairs = left.join(right.hint("shuffle_merge"), ["f", "s", "p", "q"]).where("(p < q or k1 < k2) and k1 <> k2 and t1 <> t2")
+    return pairs.select(*([F.col("f").alias(by)] if by else []), F.least("k1", "k2").alias(f"{key}_a"), F.greatest("k1", "k2").alias(f"{key}_b")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import random
 
 import numpy as np
@@ -32,7 +34,7 @@ def test_look_alike_pairs(spark):
     df = spark.createDataFrame(rows, "pk long, title string, s string")
     assert sorted(tuple(r) for r in skeleton.look_alikes(df, "pk", "title").collect()) == [(1, 2), (1, 3), (2, 3), (8, 9)]
     assert skeleton.look_alikes(spark.createDataFrame([], df.schema), "pk", "title").count() == 0
-    forms = {r.pk: r.form for r in skeleton.consistent_form(df.where("pk in (2, 4)"), "title", "form").collect()}
+    forms = {r.pk: r.form for r in skeleton.with_skeletons(df.where("pk in (2, 4)"), "title", "form", composed=True).collect()}
     assert forms == {2: "Tower", 4: None}
 
 
@@ -154,3 +156,10 @@ def test_alignment_is_the_dynamic_programme():
     for _ in range(60):
         a, b = [np.array([rng.randint(1, 6) for _ in range(rng.randint(1, 25))]) for _ in "ab"]
         assert leaks.align(a, b)[1] == brute(a, b)
+
+
+def test_prototypes_are_those_of_the_public_table(spark):
+    spoof = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    letters = [(a, b) for text, to in skeleton.LOOK_ALIKES for a, b in zip(text, to)]
+    off = [(a, b) for a, b in letters if a != "ӏ" and spoof.getSkeleton(unicodedata.normalize("NFKC", a)) != spoof.getSkeleton(b)]
+    assert len(letters) > 120 and not off, off
