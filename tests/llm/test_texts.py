@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -161,5 +160,5 @@ def test_alignment_is_the_dynamic_programme():
 def test_prototypes_are_those_of_the_public_table(spark):
     spoof = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     letters = [(a, b) for text, to in skeleton.LOOK_ALIKES for a, b in zip(text, to)]
-    off = [(a, b) for a, b in letters if a != "ӏ" and spoof.getSkeleton(unicodedata.normalize("NFKC", a)) != spoof.getSkeleton(b)]
+    off = [(a, b) for a, b in letters if a != "ӏ" and spoof.getSkeleton(b) not in (spoof.getSkeleton(a), spoof.getSkeleton(unicodedata.normalize("NFKC", a)))]
     assert len(letters) > 120 and not off, off
