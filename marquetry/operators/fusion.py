@@ -1,36 +1,137 @@
-"""Consolidation of one query's candidates: an ordered fold in JVM expressions.
+"""Comparison of partial descriptions, and consolidation of one query's candidates.
 
-Whether a candidate is accepted depends on what was accepted before it, so this is a fold, written with
-``aggregate`` over the candidates sorted by (confidence, registration, id). It stays in the JVM; the
-accumulator is one small struct. The candidates of one query are gathered into one array, which their
-number per query bounds (providers times hits); a table in which one query holds a large share of all
-rows goes through ``consolidate`` of the plans instead, a window-free aggregate.
+Consolidation is an ordered fold: candidates come by falling confidence, one that contradicts what was
+accepted before is dropped, any other fills the fields that are still empty. A field is filled once, so
+the running result changes no more often than it has fields. The fold is therefore a few rounds over all
+queries together: in each, every undecided candidate is held against its query's running result, the
+first that adds something moves the result on, and all up to it are decided. A round is a join and a
+pre-aggregated minimum; no query's candidates are gathered anywhere, however many there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seconds by which runtimes of a medium may differ; DEFAULT for any other.
-RUNTIME_TOLERANCE = {"movie": 120.0, "series": 30.0, "music": 3.0, "music_video": 30.0, "podcast": 30.0, "book": 0.0}
-DEFAULT = 5.0
+from marquetry.functions.text import folded_title, fuzzy_ratio
+from marquetry.operators.skew import hot_split_join
+from marquetry.session import Scratch
 
+# Seconds by which runtimes of a medium may differ, and of any other or without a medium.
+RUNTIME_TOLERANCE = {"movie": 120.0, "series": 30.0, "tv": 0.0, "music": 3.0, "music_video": 30.0, "podcast": 30.0, "book": 0.0}
+DEFAULT_TOLERANCE = 5.0
+# Years that may lie between two descriptions, and the least ratio of two titles.
+YEAR_WINDOW, TITLE_RATIO = 1, 0.92
+#: Fields that a result is made of, with their types; the first five and variant_kind are compared.
+FIELDS = {"title": "string", "year": "int", "medium": "string", "season": "int", "episode": "int", "runtime": "double", "variant_kind": "string", "artist": "string", "language": "string", "country": "string"}
 
-def consolidate(candidates: DataFrame) -> DataFrame:
-    """Rows (query_id, title, year, medium, runtime, accepted, dropped, conflicted).
 
-    ``candidates``: query_id, match_id, confidence, seq, title, year, medium, runtime; any column but the
-    first two may be null. Absent fields never conflict; years conflict beyond one apart, media when
-    they differ, runtimes beyond the medium's tolerance. Fields are kept from the first accepted
-    candidate that has them. After a conflict with the running result ``conflicted`` is true (the
-    caller then has no signals). ``accepted`` and ``dropped`` are match_ids in the order of the fold.
+def tolerance(medium: str) -> str:
+    """SQL of the runtime tolerance of a medium given as SQL."""
+    return f"CASE {medium} " + " ".join(f"WHEN '{m}' THEN {t}D" for m, t in RUNTIME_TOLERANCE.items()) + f" ELSE {DEFAULT_TOLERANCE}D END"
+
+
+def title_ratio(a: Column, b: Column) -> Column:
+    """Ratio of two folded titles: 1 when equal, null when either is missing."""
+    differ = a != b
+    return F.when(a == b, 1.0).otherwise(fuzzy_ratio(F.when(differ, a), F.when(differ, b)))
+
+
+def conflicts(a: str, b: str, ratio: Column | None) -> Column:
+    """Names of the fields in which structs ``a`` and ``b`` contradict each other; none for absent fields.
+
+    ``ratio`` is the title ratio, null without titles; leave it out to compare no titles.
+    """
+    both = f"IF({a}.medium IS NOT NULL AND {b}.medium IS NOT NULL, {a}.medium, NULL)"
+    rules = {
+        "year": F.expr(f"abs({a}.year - {b}.year) > {YEAR_WINDOW}"),
+        "medium": F.expr(f"{a}.medium <> {b}.medium"),
+        "season": F.expr(f"{a}.season <> {b}.season"),
+        "episode": F.expr(f"{a}.episode <> {b}.episode"),
+        "runtime": F.expr(f"abs({a}.runtime - {b}.runtime) > {tolerance(both)}"),
+        "variant_kind": F.expr(f"{a}.variant_kind <> {b}.variant_kind"),
+    }
+    if ratio is not None:
+        rules = {"title": ratio < TITLE_RATIO} | rules
+    return F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+
+
+def match_quality(a: str, b: str, ratio: Column) -> Column:
+    """0..1: the title ratio, halved for years too far apart and for another medium; 1 without anything to compare."""
+    year = F.expr(f"IF(coalesce(abs({a}.year - {b}.year) > {YEAR_WINDOW}, false), 0.5D, 1.0D)")
+    medium = F.expr(f"IF(coalesce({a}.medium <> {b}.medium, false), 0.5D, 1.0D)")
+    return F.coalesce(ratio, F.lit(1.0)) * year * medium
+
+
+def described(df: DataFrame, *extra: str) -> DataFrame:
+    """``extra`` and a struct ``s`` of FIELDS (absent ones null) with the folded title as ``form``."""
+    fields = [(F.col(f) if f in df.columns else F.lit(None)).cast(kind).alias(f) for f, kind in FIELDS.items()]
+    title = F.col("title") if "title" in df.columns else F.lit(None).cast("string")
+    return df.select(*extra, F.struct(*fields, folded_title(title).alias("form")).alias("s"))
+
+
+def consolidate(candidates: DataFrame, local: DataFrame | None = None, titles: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, results) of ``candidates`` (query_id, match_id, provider, confidence, seq and FIELDS).
+
+    ``verdicts``: query_id, match_id, provider, confidence, place (orders a query's candidates), accepted,
+    against ("local", the anchor's provider, or "consolidated" before there is one; null when accepted)
+    and fields (those in conflict). ``results``: query_id, anchor (provider of the first accepted one),
+    n_accepted, n_dropped, confidence (the best accepted), conflicted and FIELDS. After a conflict with
+    the running result FIELDS are null; a conflict with ``local`` alone does no harm.
+
+    Candidates come by (confidence falling, seq, match_id), nulls last; repeated rows count once. ``local``
+    (query_id and FIELDS, one row a query) is what the caller knows: it comes first and is never given up.
+    Any column may be missing or null. No candidates give no rows.
+    """
+    scratch = Scratch(candidates.sparkSession)
+    place = F.struct((-F.coalesce(F.nanvl("confidence", F.lit(-1.0)), F.lit(-1.0))).alias("c"), F.coalesce("seq", F.lit(1 << 30)).cast("int").alias("q"), F.col("match_id").cast("bigint").alias("m"))
+    rows = described(candidates.withColumn("place", place), "query_id", "match_id", "provider", "confidence", "place").dropDuplicates(["query_id", "match_id", "provider", "confidence"])
+    ratio = lambda a, b: title_ratio(F.col(f"{a}.form"), F.col(f"{b}.form")) if titles else None
+    state = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    if local is not None:
+        state = state.join(described(local, "query_id"), "query_id", "left")
+    else:
+        state = state.withColumn("s", F.lit(None).cast(rows.schema["s"].dataType))
+    state = state.select("query_id", "n", "s", F.col("s").alias("own"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast(rows.schema["place"].dataType).alias("at"))
+    sizes = {"total": F.sum("n"), "largest": F.max("n")}
+    state, seen = scratch.measured(state, **sizes)
+    undecided = rows.withColumnRenamed("s", "c")
+    decided = []
+    for _ in range(len(FIELDS) + 2):
+        met = hot_split_join(undecided, state, ["query_id"], "n", seen["total"] or 1, largest=seen["largest"] or 0)
+        met = met.withColumn("vs_local", conflicts("own", "c", ratio("own", "c"))).withColumn("vs_run", conflicts("s", "c", ratio("s", "c")))
+        fills = F.expr(" OR ".join(f"(s.{f} IS NULL AND c.{f} IS NOT NULL)" for f in FIELDS)) | F.col("anchor").isNull()
+        met = scratch.keep(met.withColumn("moves", (F.size("vs_local") == 0) & (F.size("vs_run") == 0) & fills))
+        first = met.where("moves").groupBy("query_id").agg(F.min(F.struct("place", "provider", "c")).alias("first"))
+        merged = F.struct(*[F.coalesce(f"s.{f}", f"first.c.{f}").alias(f) for f in (*FIELDS, "form")])
+        ahead, moved = scratch.measured(first.join(state, "query_id").select("query_id", "n", merged.alias("s"), "own", F.coalesce("anchor", "first.provider").alias("anchor"), F.col("first.place").alias("at")), moved=F.count(F.lit(1)))
+        judged = met.join(ahead.select("query_id", F.col("at").alias("upto")), "query_id", "left")
+        over = F.col("upto").isNull() | (F.col("place") <= F.col("upto"))
+        decided.append(judged.where(over).select("query_id", "match_id", "provider", "confidence", "place", "vs_local", "vs_run", "anchor"))
+        undecided = judged.where(~over).select(*undecided.columns)
+        state = scratch.keep(ahead.unionByName(state.join(ahead, "query_id", "left_anti")))
+        if not moved["moved"]:
+            break
+    verdicts = decided[0]
+    for part in decided[1:]:
+        verdicts = verdicts.unionByName(part)
+    against = F.when(F.size("vs_local") > 0, "local").when(F.size("vs_run") > 0, F.coalesce("anchor", F.lit("consolidated")))
+    fields = F.when(F.size("vs_local") > 0, F.col("vs_local")).when(F.size("vs_run") > 0, F.col("vs_run"))
+    verdicts = scratch.keep(verdicts.select("query_id", "match_id", "provider", "confidence", "place", against.isNull().alias("accepted"), against.alias("against"), fields.alias("fields")))
+    counts = verdicts.groupBy("query_id").agg(F.count_if("accepted").alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_dropped"), F.max(F.when(F.col("accepted"), F.nanvl("confidence", F.lit(None)))).alias("confidence"), F.coalesce(F.bool_or(F.col("against") != "local"), F.lit(False)).alias("conflicted"))
+    results = counts.join(state, "query_id").select("query_id", "anchor", "n_accepted", "n_dropped", "confidence", "conflicted", *[F.when(~F.col("conflicted"), F.col(f"s.{f}")).alias(f) for f in FIELDS])
+    return verdicts, results
+
+
+def merged_ids(verdicts: DataFrame, ids: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
+    """(query_id, field, value): identifiers of the accepted matches, the first that has a field decides.
+
+    ``ids`` is (match_id, field, value); ``mapped`` what mappings add to a match, which fills gaps of the
+    same match only. Null values are none; ties go to the smaller value.
     """
-    tolerance = "CASE acc.medium " + " ".join(f"WHEN '{m}' THEN {t}D" for m, t in RUNTIME_TOLERANCE.items()) + f" ELSE {DEFAULT}D END"
-    clash = f"(coalesce(abs(acc.year - x.year) > 1, false) OR coalesce(acc.medium <> x.medium, false) OR coalesce(abs(acc.runtime - x.runtime) > {tolerance}, false))"
-    start = "named_struct('title', CAST(NULL AS STRING), 'year', CAST(NULL AS INT), 'medium', CAST(NULL AS STRING), 'runtime', CAST(NULL AS DOUBLE), 'accepted', CAST(array() AS ARRAY<BIGINT>), 'dropped', CAST(array() AS ARRAY<BIGINT>))"
-    kept = "named_struct('title', coalesce(acc.title, x.title), 'year', coalesce(acc.year, x.year), 'medium', coalesce(acc.medium, x.medium), 'runtime', coalesce(acc.runtime, x.runtime), 'accepted', array_append(acc.accepted, x.match_id), 'dropped', acc.dropped)"
-    dropped = "named_struct('title', acc.title, 'year', acc.year, 'medium', acc.medium, 'runtime', acc.runtime, 'accepted', acc.accepted, 'dropped', array_append(acc.dropped, x.match_id))"
-    row = F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("o"), F.coalesce("seq", F.lit(1 << 30)).alias("s"), F.col("match_id").cast("bigint").alias("match_id"), "title", F.col("year").cast("int").alias("year"), "medium", F.col("runtime").cast("double").alias("runtime"))
-    folded = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("c")).withColumn("r", F.expr(f"aggregate(c, {start}, (acc, x) -> IF({clash}, {dropped}, {kept}))"))
-    return folded.select("query_id", "r.title", "r.year", "r.medium", "r.runtime", "r.accepted", "r.dropped", (F.size("r.dropped") > 0).alias("conflicted"))
+    entries = ids.select("match_id", "field", "value", F.lit(0).alias("rank"))
+    if mapped is not None:
+        entries = entries.unionByName(mapped.select("match_id", "field", "value", F.lit(1).alias("rank")))
+    found = verdicts.where("accepted").select("query_id", "match_id", "place").join(entries.where("value is not null"), "match_id")
+    best = found.groupBy("query_id", "field").agg(F.min(F.struct("place", "rank", "value")).alias("b"))
+    return best.select("query_id", "field", "b.value")

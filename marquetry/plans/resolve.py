@@ -9,14 +9,6 @@ _CAND = """(SELECT m.query_id, m.match_id, m.provider, p.seq, m.confidence, m.ac
     row_number() OVER (PARTITION BY m.query_id ORDER BY m.confidence DESC NULLS LAST, p.seq NULLS LAST, m.match_id) AS rn
     FROM (SELECT DISTINCT query_id, match_id, lower(trim(provider)) AS provider, confidence, accepted, signals FROM @provider_match) m LEFT JOIN @provider p ON p.provider = m.provider)"""
 _YEAR = "CASE WHEN year BETWEEN 1000 AND 2100 THEN year END"
-_MEDIUM = "CASE WHEN medium NOT IN ('', 'unknown', 'n/a') AND trim(medium) <> '' THEN medium END"
-_MIN = "CASE WHEN runtime > 0 AND NOT isnan(runtime) THEN runtime END"
-_TOLERANCE = "CASE {m} WHEN 'movie' THEN 120 WHEN 'series' THEN 30 WHEN 'music' THEN 3 WHEN 'audiobook' THEN 0 WHEN 'book' THEN 0 ELSE 5 END"
-
-_ANCHOR = f"""
-    c AS (SELECT query_id, match_id, provider, confidence, rn, {_YEAR} AS year, {_MEDIUM} AS medium, {_MIN} AS runtime, title FROM {_CAND} x),
-    a AS (SELECT query_id, min_by(year, CASE WHEN year IS NOT NULL THEN rn END) AS year, min_by(medium, CASE WHEN medium IS NOT NULL THEN rn END) AS medium, min_by(runtime, CASE WHEN runtime IS NOT NULL THEN rn END) AS runtime FROM c GROUP BY query_id)"""
-
 TEXTS = {
     "route_providers": """
         SELECT q.query_id, p.provider FROM (SELECT DISTINCT query_id, lower(trim(signals.medium)) AS medium FROM @provider_match) q JOIN (SELECT provider, unnest_rows(media) AS medium FROM @provider) p ON p.medium = q.medium
@@ -26,39 +18,12 @@ TEXTS = {
     "provider_counts": "SELECT provider, count(*) AS total, count(CASE WHEN accepted THEN 1 END) AS active, count(DISTINCT signals.medium) AS media FROM (SELECT DISTINCT match_id, lower(trim(provider)) AS provider, accepted, signals FROM @provider_match) m GROUP BY provider",
     "candidates_ranked": f"SELECT query_id, match_id, provider, rn AS position FROM {_CAND} c",
     "kind_candidates": f"SELECT query_id, medium, match_id, position FROM (SELECT query_id, medium, match_id, row_number() OVER (PARTITION BY query_id, medium ORDER BY rn) AS position FROM {_CAND} c WHERE trim(medium) <> '' AND medium NOT IN ('unknown', 'n/a')) t WHERE position <= 3",
-    "compare_signals": f"""
-        WITH {_ANCHOR}
-        SELECT c.query_id, c.match_id, abs(c.year - a.year) > 1 AS year_conflict, c.medium <> a.medium AS medium_conflict, abs(c.runtime - a.runtime) > {_TOLERANCE.format(m="a.medium")} AS runtime_conflict
-        FROM c JOIN a ON a.query_id = c.query_id""",
-    "consolidate": f"""
-        WITH {_ANCHOR},
-        v AS (SELECT c.*, coalesce(abs(c.year - a.year) > 1, FALSE) OR coalesce(c.medium <> a.medium, FALSE) AS clash FROM c JOIN a ON a.query_id = c.query_id)
-        SELECT query_id, count(CASE WHEN NOT clash THEN 1 END) AS n_accepted, count(CASE WHEN clash THEN 1 END) AS n_dropped, max(CASE WHEN NOT clash THEN confidence END) AS confidence,
-            min_by(title, CASE WHEN NOT clash AND title IS NOT NULL THEN rn END) AS title, min_by(year, CASE WHEN NOT clash AND year IS NOT NULL THEN rn END) AS year, min_by(provider, CASE WHEN NOT clash THEN rn END) AS anchor, max(clash) AS conflicted
-        FROM v GROUP BY query_id""",
-    "match_quality": f"""
-        WITH {_ANCHOR}
-        SELECT c.query_id, c.match_id, CAST(CASE WHEN abs(c.year - a.year) > 1 THEN 0.5 ELSE 1.0 END * CASE WHEN c.medium <> a.medium THEN 0.5 ELSE 1.0 END AS DOUBLE) AS quality FROM c JOIN a ON a.query_id = c.query_id""",
-    "graded_title_match": f"""
-        SELECT pk, alias, CAST(score AS DOUBLE) AS score FROM (SELECT i.pk, a.norm AS alias, CASE WHEN a.norm = i.norm AND i.year >= 2000 THEN 0.95 WHEN a.norm = i.norm THEN 0.85 WHEN instr(a.norm, i.norm) > 0 OR instr(i.norm, a.norm) > 0 THEN 0.60 ELSE 0.35 END AS score,
-            row_number() OVER (PARTITION BY i.pk ORDER BY CASE WHEN a.norm = i.norm THEN 1 WHEN instr(a.norm, i.norm) > 0 OR instr(i.norm, a.norm) > 0 THEN 2 ELSE 3 END, a.norm) AS nth
-            FROM {_ITEM} i JOIN (SELECT DISTINCT norm, pk FROM @item_alias) a ON a.pk = i.pk) t WHERE nth = 1""",
-    "pick_by_year": f"""
-        WITH {_ANCHOR}
-        SELECT query_id, match_id, year FROM (SELECT c.query_id, c.match_id, c.year, row_number() OVER (PARTITION BY c.query_id ORDER BY CASE WHEN c.year = a.year + 1 THEN 0 WHEN abs(c.year - a.year - 1) <= 1 THEN 1 ELSE 2 END, c.rn) AS nth FROM c JOIN a ON a.query_id = c.query_id) t WHERE nth = 1""",
-    "year_filter_fallback": f"""
-        SELECT query_id, match_id FROM (SELECT query_id, match_id, in_window, max(in_window) OVER (PARTITION BY query_id) AS any_in FROM (SELECT query_id, match_id, CASE WHEN {_YEAR} BETWEEN 1990 AND 2000 THEN 1 ELSE 0 END AS in_window FROM {_CAND} c) w) t WHERE in_window = any_in""",
     "genre_antifilter": f"""
         SELECT year, pk FROM (SELECT year, pk, clean, max(clean) OVER (PARTITION BY year) AS any_clean FROM (SELECT DISTINCT pk, year, CASE WHEN instr(coalesce(js(data, '$.genres'), ''), 'metal') > 0 OR instr(coalesce(js(data, '$.genres'), ''), 'jazz') > 0 THEN 0 ELSE 1 END AS clean FROM @item WHERE year IS NOT NULL) g) t WHERE clean = any_clean""",
     "variant_year_filter": f"SELECT v.item_id, v.year, o.first_year FROM {_LATEST} v JOIN (SELECT kind, lower(trim(title)) AS name, min(year) AS first_year FROM @catalog_item WHERE year IS NOT NULL GROUP BY kind, lower(trim(title))) o ON o.kind = v.kind AND o.name = lower(trim(v.title)) WHERE v.year >= o.first_year - 1",
-    "candidate_score": f"""
-        WITH {_ANCHOR}
-        SELECT c.query_id, c.match_id, round(coalesce(c.confidence, 0) * CASE WHEN abs(c.year - a.year) > 1 THEN 0 ELSE 1 END, 4) AS score FROM c JOIN a ON a.query_id = c.query_id""",
-    "best_similarity": f"SELECT query_id, match_id, ratio FROM (SELECT query_id, match_id, ratio, row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, rn) AS nth FROM (SELECT c.query_id, c.match_id, c.rn, round(1 - CAST(levenshtein(lower(c.title), lower(f.title)) AS DOUBLE) / greatest(length(c.title), length(f.title), 1), 6) AS ratio FROM {_CAND} c JOIN {_CAND} f ON f.query_id = c.query_id AND f.rn = 1 WHERE c.title IS NOT NULL AND f.title IS NOT NULL) r) t WHERE nth = 1",
     "candidate_block_join": f"""
         SELECT a.item_id AS a, b.item_id AS b FROM {_LATEST} a JOIN {_LATEST} b ON lower(trim(a.title)) = lower(trim(b.title)) AND a.kind = b.kind
         WHERE a.item_id < b.item_id AND a.source <> b.source AND abs(a.year - b.year) <= 1 AND (a.runtime_min IS NULL OR b.runtime_min IS NULL OR isnan(a.runtime_min) OR isnan(b.runtime_min) OR abs(a.runtime_min - b.runtime_min) <= 2)""",
-    "hint_match": f"SELECT query_id, match_id FROM (SELECT query_id, match_id, row_number() OVER (PARTITION BY query_id ORDER BY rn) AS nth FROM {_CAND} c WHERE instr(lower(concat_ws(' ', title, artist, provider)), 'an') > 0) t WHERE nth = 1",
     "two_stage_topk": f"SELECT query_id, match_id, members FROM (SELECT query_id, match_id, coalesce(runtime, 0) AS members, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN isnan(runtime) THEN NULL ELSE runtime END, 0) DESC, rn) AS nth FROM {_CAND} c WHERE rn <= 10 AND NOT isnan(coalesce(runtime, 0))) t WHERE nth <= 5",
     "rating_rank": f"SELECT query_id, match_id, nth FROM (SELECT query_id, match_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(confidence, seq / 10.0, 0) DESC, match_id) AS nth FROM {_CAND} c) t WHERE nth <= 10",
     "source_failover": f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquetry.functions.text import fuzzy_ratio, norm_name
-from marquetry.operators import clusters, fusion
+from marquetry.operators import clusters
 from marquetry.plans.dialect import duck_text
 from marquetry.plans.entities import _IDS, _ITEMS
 from marquetry.plans.sql import query
@@ -38,17 +38,6 @@ def q_mapping_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.mapping_clusters(query("members", _MEMBERS)(spark, folder))
 
 
-def q_consolidate_fold(spark: SparkSession, folder: str) -> DataFrame:
-    seq = table(spark, folder, "provider", "provider", "seq")
-    answers = table(spark, folder, "provider_match", "query_id", "match_id", "provider", "confidence", "signals").distinct().withColumn("provider", F.lower(F.trim("provider")))
-    year = F.when(F.col("signals.year").between(1000, 2100), F.col("signals.year"))
-    runtime = F.when((F.col("signals.runtime") > 0) & ~F.isnan("signals.runtime"), F.col("signals.runtime"))
-    medium = F.lower(F.trim("signals.medium"))
-    rows = answers.join(seq, "provider", "left").select("query_id", "match_id", "confidence", "seq", F.col("signals.title").alias("title"), year.alias("year"), F.when(~medium.isin("", "unknown", "n/a"), medium).alias("medium"), runtime.alias("runtime"))
-    folded = fusion.consolidate(rows)
-    return folded.select("query_id", "title", "year", "medium", F.size("accepted").alias("n_accepted"), F.size("dropped").alias("n_dropped"), "conflicted")
-
-
 def q_html_table(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("name", "brand", "size")
     return pages.parse(_pages(spark, folder, f"SELECT p_partkey, {_PART_PAGE} AS page FROM @part"), "p_partkey", "page", lambda p: pages.table_rows(p, columns), "name string, brand string, size string")
@@ -83,7 +72,7 @@ def q_stream_watch(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.watched_counts(spark, folder, "events")
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_norm_name, q_fuzzy_ratio, q_mapping_clusters, q_consolidate_fold, q_html_table, q_html_spec, q_html_releases, q_feed_parse, q_token_bucket, q_ttl_cache, q_stream_watch)}
+QUERIES = {f.__name__[2:]: f for f in (q_norm_name, q_fuzzy_ratio, q_mapping_clusters, q_html_table, q_html_spec, q_html_releases, q_feed_parse, q_token_bucket, q_ttl_cache, q_stream_watch)}
 
 ORACLE = {name: duck_text(text) for name, text in {
     "mapping_clusters": f"""

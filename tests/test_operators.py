@@ -1,4 +1,4 @@
-"""Fusion, clusters, pages, files and streams on small fixtures."""
+"""Clusters, pages, files and streams on small fixtures."""
 
 from __future__ import annotations
 
@@ -8,43 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquetry.operators.clusters import mapping_clusters
-from marquetry.operators.fusion import RUNTIME_TOLERANCE, consolidate
 from marquetry.session import Scratch
 from marquetry.sources import pages
 from marquetry.sources.files import read_journal, scan_media_files, write_store
 from marquetry.sources.tables import MissingColumns, require
 from marquetry.streaming import jobs
 
-CANDIDATE = "query_id long, match_id long, confidence double, seq int, title string, year int, medium string, runtime double, extra string"
-
-
-def model(rows):
-    """The fold in plain Python."""
-    out = {}
-    for q in {r[0] for r in rows}:
-        title = year = medium = runtime = None
-        accepted, dropped = [], []
-        for _, m, c, s, t, y, d, r, _ in sorted((r for r in rows if r[0] == q), key=lambda r: (-(r[2] if r[2] is not None else -1), r[3] if r[3] is not None else 1 << 30, r[1])):
-            clash = (None not in (year, y) and abs(year - y) > 1) or (None not in (medium, d) and medium != d) or (None not in (runtime, r) and abs(runtime - r) > RUNTIME_TOLERANCE.get(medium, 5.0))
-            if clash:
-                dropped.append(m)
-                continue
-            title, year, medium, runtime = (a if a is not None else b for a, b in zip((title, year, medium, runtime), (t, y, d, r)))
-            accepted.append(m)
-        out[q] = (title, year, medium, runtime, accepted, dropped, bool(dropped))
-    return out
-
-
-def test_consolidate_is_the_fold(spark):
-    rows = [
-        (1, 1, 0.9, 1, None, 1999, "movie", None, "x"), (1, 2, 0.9, 2, "T", 2001, "movie", 100.0, "x"), (1, 3, 0.5, 1, "U", 2000, None, 300.0, "x"), (1, 4, None, None, "V", None, "series", None, "x"),
-        (2, 5, None, None, None, None, None, None, "x"), (3, 6, 0.1, 1, "A", 1, "music", 10.0, "x"), (3, 7, 0.1, 1, "B", 2, "music", 14.0, "x"),
-    ]
-    got = {r.query_id: tuple(r)[1:] for r in consolidate(spark.createDataFrame(rows, CANDIDATE)).collect()}
-    assert got == model(rows)
-    assert consolidate(spark.createDataFrame([], CANDIDATE)).count() == 0
-
-
 def test_clusters_bridge_and_roles(spark):
     rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "x"), ("a", 3, "y"), ("b", 1, "x"), ("b", 2, "x"), ("a", 9, "z"), ("a", None, "x"), ("a", 4, None), ("a", 1, "x")]
     rows += [("c", i, f"n{i}") for i in range(40)] + [("c", i, f"n{i + 1}") for i in range(40)]
