@@ -110,6 +110,11 @@ def register(name: str, adapter: Adapter, priority: int = 100) -> None:
     _ADAPTERS[name] = (priority, adapter)
 
 
+def registered() -> list[str]:
+    """Names of the registered sources in the order they are asked."""
+    return [n for n, _ in sorted(_ADAPTERS.items(), key=lambda kv: (kv[1][0], kv[0]))]
+
+
 def unregister(name: str) -> None:
     _ADAPTERS.pop(name, None)
 
