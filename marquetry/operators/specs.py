@@ -7,8 +7,12 @@ so pruning and push-down see exactly the columns it maps.
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib import metadata
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,9 +161,11 @@ _ADAPTERS: dict[str, tuple[int, Adapter]] = {}
 
 
 def register(name: str, adapter: Adapter, priority: int = 100) -> None:
-    """Add a source; a name once taken is not taken again."""
+    """Add a source; a name once taken is not taken again, and what can't be called is no adapter."""
     if name in _ADAPTERS:
         raise ValueError(f"source {name!r} is registered already")
+    if not callable(adapter):
+        raise TypeError(f"source {name!r} is no adapter")
     _ADAPTERS[name] = (priority, adapter)
 
 
@@ -172,9 +178,71 @@ def unregister(name: str) -> None:
     _ADAPTERS.pop(name, None)
 
 
-def candidates(questions: DataFrame) -> DataFrame:
-    """The union of all sources' candidates, beside the source's name and place (priority, then name)."""
-    parts = [adapter(questions).withColumns({"source": F.lit(name), "source_seq": F.lit(i)}) for i, (name, (_, adapter)) in enumerate(sorted(_ADAPTERS.items(), key=lambda kv: (kv[1][0], kv[0])))]
+def settle(plugin: str, load: Callable[[], object]) -> str | None:
+    """Let a plugin register its sources; returns what was wrong with it, or null.
+
+    A plugin that fails leaves nothing behind. One that removes or replaces a source finds it restored; what
+    it registered besides stays, unless it can't be called. A plugin that registers nothing is told so.
+    """
+    before = dict(_ADAPTERS)
+    try:
+        load()
+    except Exception as error:
+        _ADAPTERS.clear()
+        _ADAPTERS.update(before)
+        return f"{plugin}: {type(error).__name__}: {error}"
+    problems = []
+    for label, names in (
+        ("removed", [n for n in before if n not in _ADAPTERS]),
+        ("replaced", [n for n, a in before.items() if _ADAPTERS.get(n, a) is not a]),
+        ("are no adapters", [n for n, a in _ADAPTERS.items() if n not in before and not (isinstance(a, tuple) and len(a) == 2 and callable(a[1]))]),
+    ):
+        problems += [f"{', '.join(sorted(names))} {label}"] if names else []
+    fresh = {n: a for n, a in _ADAPTERS.items() if n not in before and isinstance(a, tuple) and len(a) == 2 and callable(a[1])}
+    _ADAPTERS.clear()
+    _ADAPTERS.update(before | fresh)
+    if not fresh and not problems:
+        problems.append("registered nothing")
+    return f"{plugin}: {'; '.join(problems)}" if problems else None
+
+
+def load_plugins(group: str = "marquetry.sources") -> dict[str, str | None]:
+    """Load the installed plugins of an entry-point group by name; their problems, null for none."""
+    return {e.name: settle(e.name, lambda e=e: (t() if callable(t := e.load()) else None)) for e in sorted(metadata.entry_points(group=group), key=lambda e: e.name)}
+
+
+def discover(package: ModuleType) -> list[str]:
+    """Import every module of a package, so that they register their sources; the modules' names."""
+    names = sorted(m.name for m in pkgutil.iter_modules(package.__path__) if not m.name.startswith("_"))
+    for name in names:
+        importlib.import_module(f"{package.__name__}.{name}")
+    return names
+
+
+def trapped(stage: str, source: str, attempt: Callable[[], DataFrame]) -> tuple[DataFrame | None, tuple[str, str, str, str] | None]:
+    """(result, error) of one source: a source that fails to plan gives an error row instead of ending the query.
+
+    The row is (source, stage, error type, message of at most 500 characters). Errors in single values are
+    nulls by ``try_`` functions and never reach this.
+    """
+    try:
+        return attempt(), None
+    except Exception as error:
+        return None, (source, stage, type(error).__name__, str(error)[:500])
+
+
+def candidates(questions: DataFrame, errors: list | None = None) -> DataFrame:
+    """The union of all sources' candidates, beside the source's name and place (priority, then name).
+
+    With ``errors``, a source that fails is left out and its error row appended there.
+    """
+    parts = []
+    for place, name in enumerate(registered()):
+        ask = lambda name=name, place=place: _ADAPTERS[name][1](questions).withColumns({"source": F.lit(name), "source_seq": F.lit(place)})
+        part, error = (ask(), None) if errors is None else trapped("candidates", name, ask)
+        parts += [part] if part is not None else []
+        if error:
+            errors.append(error)
     if not parts:
         raise ValueError("no source is registered")
     out = parts[0]
