@@ -85,7 +85,11 @@ SCALARS: dict[str, Scalar] = {
         "item", "pk", {"x": "CASE WHEN pk % 4 = 0 THEN concat('https://www.youtube.com/watch?list=a&v=abc', CAST(100000 + pk AS STRING)) WHEN pk % 4 = 1 THEN concat(' https://youtu.be/Q_', CAST(100000 + pk AS STRING)) WHEN pk % 4 = 2 THEN concat('https://player.vimeo.com/video/', CAST(pk AS STRING)) ELSE concat('https://video.example/', CAST(pk AS STRING)) END"}),
     "video_url": Scalar("The page of a video by site and key; empty for unknown sites.", "CASE WHEN $k = '' THEN '' " + " ".join(f"WHEN lower(trim($s)) = '{s}' THEN concat('{u}', $k)" for s, u in VIDEO_PAGES) + " ELSE '' END", "item", "pk", {"s": "CASE WHEN pk % 3 = 0 THEN ' YouTube ' WHEN pk % 3 = 1 THEN 'vimeo' ELSE 'other' END", "k": "CASE WHEN pk % 7 = 0 THEN '' ELSE CAST(pk AS STRING) END"}),
     "first_nonempty": Scalar("The first of two texts that is not blank; empty when both are.", "coalesce(nullif(trim($a), ''), nullif(trim($b), ''), '')", "catalog_item", "item_id", {"a": "original_title", "b": "title"}),
-    "to_text": Scalar("A number as trimmed text; empty for null, NaN and infinite.", "CASE WHEN $x IS NULL OR isnan($x) OR abs($x) = CAST('Infinity' AS DOUBLE) THEN '' ELSE CAST(CAST(floor($x) AS BIGINT) AS STRING) END", "item", "pk", {"x": "rank"}),
+    "full_title": Scalar("A file's title with its subtitle, as the file-name parser cleans it.", f"nullif({_CLEAN.replace('$t', 'rx_sub($x, ~\'\\\\s*[(]?(19|20)[0-9]{2}[)]?.*$\', \'\')')}, '')", "item", "pk", {"x": "concat(title, ' - Part Two (', coalesce(CAST(year AS STRING), ''), ').1080p')"}),
+    "whole_id": Scalar("An id of a field of whole numbers: digits as such a number, anything else null.", "CASE WHEN rx_is(trim($x), ~'^[0-9]{1,18}$') THEN CAST(CAST(trim($x) AS BIGINT) AS STRING) END", "ext_id", "pk", {"x": "value"}),
+    "public_address": Scalar("Whether a dotted address is a public one; null for no such address.", "CASE WHEN rx_is($x, ~'^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$') THEN NOT rx_is($x, ~'^(0|10|127)[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]|^192[.]168[.]|^192[.]0[.][02][.]|^198[.]1[89][.]|^198[.]51[.]100[.]|^203[.]0[.]113[.]|^100[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])[.]|^(22[4-9]|2[34][0-9]|25[0-5])[.]') END", "events", "event_id", {"x": "concat(CAST(event_id % 256 AS STRING), '.', CAST((event_id * 7) % 256 AS STRING), '.', CAST((event_id * 13) % 256 AS STRING), '.', CAST(event_id % 300 AS STRING))"}),
+    "cover_url": Scalar("The address of the first positive cover id of a list.", "concat('https://covers.openlibrary.org/b/id/', CAST(arr_get(arr_filter($x, e -> e > 0), 1) AS STRING), '-L.jpg')", "item", "pk", {"x": "arr(pk % 3 - 1, -pk, pk % 5)"}),
+    "to_text": Scalar("A number as trimmed text, as it is written; empty for null, NaN and infinite.", "CASE WHEN $x IS NULL OR isnan($x) OR abs($x) = CAST('Infinity' AS DOUBLE) THEN '' WHEN abs($x) >= 10000000 AND $x = floor($x) THEN concat(CAST(CAST($x AS BIGINT) AS STRING), '.0') ELSE CAST($x AS STRING) END", "item", "pk", {"x": "rank"}),
     "json_safe": Scalar("A number as JSON holds it: NaN and infinite are null.", "CASE WHEN isnan($x) OR abs($x) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE $x END", "catalog_item", "item_id", {"x": "runtime_min"}),
     "clean_isbn": Scalar("An ISBN without hyphens, in upper case.", "upper(replace($x, '-', ''))", "ext_id", "pk", {"x": "CASE WHEN starts(field, 'isbn') THEN concat(substring(value, 1, 3), '-', substring(value, 4)) ELSE lower(value) END"}),
     "isbn_convert": Scalar(
@@ -139,6 +143,10 @@ SCALARS: dict[str, Scalar] = {
 }
 
 
+#: Scalars of numbers that may be NaN, which no two engines compare alike; their inputs are shown as null.
+NUMERIC = ("to_text", "json_safe", "finite")
+
+
 def expression(name: str, **inputs: str) -> str:
     """The neutral SQL of a scalar over the given input expressions."""
     scalar = SCALARS[name]
@@ -158,4 +166,5 @@ def query_text(name: str) -> str:
     s = SCALARS[name]
     inputs = ", ".join(f"{e} AS in_{k}" for k, e in s.inputs.items())
     result = expression(name, **{k: f"in_{k}" for k in s.inputs})
-    return f"SELECT {s.key}, {', '.join(f'in_{k}' for k in s.inputs)}, {result} AS {name} FROM (SELECT {s.key}, {inputs} FROM @{s.table}) q"
+    shown = ", ".join(f"CASE WHEN NOT isnan(in_{k}) THEN in_{k} END AS in_{k}" if name in NUMERIC else f"in_{k}" for k in s.inputs)
+    return f"SELECT {s.key}, {shown}, {result} AS {name} FROM (SELECT {s.key}, {inputs} FROM @{s.table}) q"

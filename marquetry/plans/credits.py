@@ -2,35 +2,77 @@
 
 from __future__ import annotations
 
-# Provider words and the role each stands for.
-ROLE_WORDS = (
-    ("actor", "actor actress cast acting star starring"), ("voice-actor", "voice,voice actor,voice over,voiceover,voice cast,dub,seiyuu"), ("narrator", "narrator narration reader"),
-    ("host", "host presenter anchor"), ("guest", "guest"), ("performer", "performer vocals vocal vocalist singer musician instrument"), ("self", "self himself herself themselves"),
-    ("writer", "writer story teleplay script writing"), ("screenwriter", "screenplay screenwriter"), ("author", "author novel"), ("lyricist", "lyricist lyrics"), ("translator", "translator translation"),
-    ("adapted-from", "source characters"), ("director", "director directing"), ("creator", "creator"), ("producer", "producer"), ("showrunner", "showrunner"), ("artist", "artist"),
-    ("composer", "composer music score"), ("conductor", "conductor"), ("arranger", "arranger orchestrator"), ("featured-artist", "featuring feat ft"),
-    ("cinematographer", "cinematographer dop dp cinematography camera"), ("editor", "editor editing"), ("illustrator", "illustrator illustration"), ("cover-artist", "cover"),
-    ("mixer", "mixer mixing mix"), ("mastering", "mastering"), ("studio", "studio"), ("label", "label"), ("publisher", "publisher"), ("network", "network channel broadcaster"), ("distributor", "distributor distribution"),
-)
-_CLEANED = "trim(rx_sub(rx_sub(rx_sub(lower({x}), ~'\\([^)]*\\)', ' '), ~'[_/-]', ' '), ~'\\s+', ' '))"
+# The words and phrases that stand for each role.
+ROLE_WORDS = {
+    "actor": ("actor", "actress", "cast", "acting", "star", "starring", "co star"),
+    "voice-actor": ("voice", "voice actor", "voice actress", "voice over", "voiceover", "voice cast", "dub", "seiyuu"),
+    "narrator": ("narrator", "narration", "reader", "read by", "narrated by"),
+    "host": ("host", "presenter", "anchor", "co host"),
+    "guest": ("guest", "guest star", "guest cast"),
+    "performer": ("performer", "vocals", "vocal", "vocalist", "singer", "musician", "instrument", "theme song performance"),
+    "self": ("self", "himself", "herself", "themselves"),
+    "writer": ("writer", "written by", "story", "teleplay", "script", "writing", "series composition"),
+    "screenwriter": ("screenplay", "screenwriter", "screen play"),
+    "author": ("author", "novel"),
+    "lyricist": ("lyricist", "lyrics", "lyrics by"),
+    "translator": ("translator", "translation"),
+    "adapted-from": ("adapted from", "based on", "source", "original story", "original creator", "characters"),
+    "director": ("director", "directed by", "directing", "series director"),
+    "creator": ("creator", "created by"),
+    "producer": ("producer", "produced by"),
+    "executive-producer": ("executive producer", "exec producer", "co executive producer"),
+    "showrunner": ("showrunner",),
+    "audio-director": ("audio director", "sound director", "voice director", "dubbing director"),
+    "sound-designer": ("sound designer", "sound design", "sound effects"),
+    "artist": ("artist", "album artist", "primary artist", "main artist"),
+    "composer": ("composer", "original music composer", "music", "music by", "score"),
+    "conductor": ("conductor",),
+    "arranger": ("arranger", "arranged by", "orchestrator", "instrument arranger", "vocal arranger"),
+    "producer-music": ("music producer", "record producer"),
+    "featured-artist": ("featured artist", "featuring", "feat", "ft"),
+    "cinematographer": ("cinematographer", "director of photography", "dop", "dp", "cinematography", "camera"),
+    "editor": ("editor", "film editor", "editing"),
+    "illustrator": ("illustrator", "illustration"),
+    "cover-artist": ("cover artist", "cover", "cover art", "design illustration"),
+    "mixer": ("mixer", "mixing", "mixed by", "mix"),
+    "mastering": ("mastering", "mastered by", "mastering engineer"),
+    "studio": ("studio", "production company", "animation studio"),
+    "label": ("label", "record label"),
+    "publisher": ("publisher",),
+    "network": ("network", "channel", "broadcaster"),
+    "distributor": ("distributor", "distribution"),
+}
+# Words that mean something narrower with one provider.
+MUSICBRAINZ_WORDS = {"producer": "producer-music", "instrument": "performer", "vocal": "performer"}
+_CLEANED = "trim(rx_sub(rx_sub(rx_sub(rx_sub(lower({x}), ~'\\([^)]*\\)', ' '), ~'[_/-]', ' '), ~'[^\\p{L}\\p{N} ]+', ' '), ~'\\s+', ' '))"
 
 
 def cleaned(x: str) -> str:
     return _CLEANED.replace("{x}", x)
 
 
-def role(x: str) -> str:
-    """The role a provider's word stands for; an unknown word with hyphens for blanks."""
-    w = cleaned(x)
-    cases = " ".join(f"WHEN {w} IN ({', '.join(repr(v) for v in (words.split(',') if ',' in words else words.split()))}) THEN '{r}'" for r, words in ROLE_WORDS)
-    return f"CASE {cases} WHEN rx_is({w}, ~'\\bcasting\\b') THEN 'casting' WHEN rx_is({w}, ~'\\bdirector\\b') AND rx_is({w}, ~'\\b(voice|dub|dubbing|adr)\\b') THEN 'audio-director' ELSE replace({w}, ' ', '-') END"
+def role(w: str, overrides: dict[str, str] | None = None, cast: bool = False) -> str:
+    """The role a provider's word ``w`` (as ``cleaned``, a column) stands for; an unknown word with hyphens for blanks.
+
+    ``overrides`` are one provider's own words. In a cast list (``cast``) any word about a voice is a voice actor.
+    """
+    cases = [f"WHEN {w} = '{word}' THEN '{r}'" for word, r in (overrides or {}).items()]
+    cases += [f"WHEN {w} IN ({', '.join(repr(v) for v in words)}) THEN '{r}'" for r, words in ROLE_WORDS.items()]
+    cases += [f"WHEN rx_is({w}, ~'\\bcasting\\b') THEN 'casting'", f"WHEN rx_is({w}, ~'\\bdirector\\b') AND rx_is({w}, ~'\\b(voice|dub|dubbing|adr)\\b') THEN 'audio-director'"]
+    cases += [f"WHEN rx_is({w}, ~'\\bvoice\\b') THEN 'voice-actor'"] if cast else []
+    return f"CASE {' '.join(cases)} ELSE replace({w}, ' ', '-') END"
+
+
+def role_note(x: str) -> str:
+    """The bracketed part of a provider's role word; an empty text without one."""
+    return f"trim(rx_get({x}, ~'\\(([^)]*)\\)', 1))"
 
 
-_CREDIT = f"(SELECT DISTINCT credit_id, person, item_pk, {role('role')} AS role, coalesce(character_name, '') AS character_name, coalesce(note, '') AS note, credit_pos, seen_at FROM @credit)"
+_CREDIT = f"(SELECT DISTINCT credit_id, person, item_pk, {role('w')} AS role, coalesce(character_name, '') AS character_name, coalesce(note, '') AS note, credit_pos, seen_at FROM (SELECT *, {cleaned('role')} AS w FROM @credit) r)"
 _PEOPLE = "(SELECT person_id, name, kind FROM (SELECT person_id, name, kind, row_number() OVER (PARTITION BY person_id ORDER BY updated_at DESC) AS nth FROM @person) d WHERE nth = 1 UNION ALL SELECT person_id, name, kind FROM @house_person)"
 
 TEXTS = {
-    "role_norm": f"SELECT word, n, {role('word')} AS role FROM (SELECT role AS word, count(*) AS n FROM @credit GROUP BY role UNION ALL SELECT v.word, 0 FROM (VALUES ('Casting (US)'), ('Dub Director'), ('Voice_Over'), ('Best Boy'), ('SCREENPLAY')) v(word)) w WHERE word IS NOT NULL",
+    "role_norm": f"SELECT word, n, {role('w')} AS role, {role('w', MUSICBRAINZ_WORDS)} AS music_role, {role('w', cast=True)} AS cast_role, {role_note('word')} AS note FROM (SELECT word, n, {cleaned('word')} AS w FROM (SELECT role AS word, count(*) AS n FROM @credit GROUP BY role UNION ALL SELECT v.word, 0 FROM (VALUES ('Casting (US)'), ('Dub Director'), ('Voice_Over'), ('Best Boy'), ('SCREENPLAY'), ('Executive Producer'), ('guest-star (ep. 4)'), ('Read by'), ('Sound Design'), ('Director of Photography'), ('Co/Executive Producer'), ('Voice Recording'), ('Music & Lyrics')) v(word)) x) w WHERE word IS NOT NULL",
     "merge_credits": f"""
         WITH first AS (SELECT item_pk, person, role, character_name, min(credit_id) AS first_id FROM {_CREDIT} c WHERE person IS NOT NULL GROUP BY item_pk, person, role, character_name),
         notes AS (SELECT item_pk, person, role, character_name, note, min(credit_id) AS first_note FROM {_CREDIT} c WHERE person IS NOT NULL AND note <> '' GROUP BY item_pk, person, role, character_name, note),
@@ -38,10 +80,8 @@ TEXTS = {
         SELECT f.item_pk, f.person, f.role, f.character_name, coalesce(j.note, '') AS note, row_number() OVER (PARTITION BY f.item_pk, f.role ORDER BY f.first_id) - 1 AS position
         FROM first f LEFT JOIN joined j ON j.item_pk = f.item_pk AND j.person = f.person AND j.role = f.role AND j.character_name = f.character_name""",
     "relations_to_credits": f"SELECT DISTINCT item_pk, person, role FROM {_CREDIT} c WHERE role <> 'other' AND person IS NOT NULL",
-    "relation_credits": f"SELECT c.item_pk, p.name, c.role, c.note FROM {_CREDIT} c JOIN {_PEOPLE} p ON p.person_id = c.person WHERE c.note <> ''",
-    "filmography": f"SELECT p.person_id, i.pk, c.role, i.title FROM {_CREDIT} c JOIN {_PEOPLE} p ON p.person_id = c.person JOIN (SELECT pk, max(title) AS title FROM @item GROUP BY pk) i ON i.pk = c.item_pk WHERE c.role IN ('actor', 'voice-actor') UNION ALL SELECT p.person_id, i.pk, c.role, i.title FROM {_CREDIT} c JOIN {_PEOPLE} p ON p.person_id = c.person JOIN (SELECT pk, max(title) AS title FROM @item GROUP BY pk) i ON i.pk = c.item_pk WHERE c.role NOT IN ('actor', 'voice-actor')",
     "cast_order": f"SELECT item_pk, credit_id, row_number() OVER (PARTITION BY item_pk ORDER BY coalesce(credit_pos, 9999), credit_id) AS nth FROM {_CREDIT} c WHERE role IN ('actor', 'voice-actor')",
-    "appearance_count": f"SELECT c.person, c.role, count(*) AS appearances, count(DISTINCT c.item_pk) AS items FROM {_CREDIT} c LEFT JOIN @house_person h ON h.person_id = c.person WHERE h.person_id IS NULL AND c.person IS NOT NULL GROUP BY c.person, c.role",
+    "appearance_count": f"SELECT c.person, c.role, count(*) AS appearances, count(DISTINCT c.item_pk) AS items, CASE WHEN count(*) = count(DISTINCT c.item_pk) THEN 1 ELSE 0 END AS once_each FROM {_CREDIT} c LEFT JOIN @house_person h ON h.person_id = c.person WHERE h.person_id IS NULL AND c.person IS NOT NULL GROUP BY c.person, c.role",
     "entities_by_role": f"SELECT role, count(DISTINCT person) AS people, count(*) AS credits FROM {_CREDIT} c GROUP BY role",
     "role_kind": f"SELECT role, CASE WHEN role IN ('artist', 'featured-artist', 'performer') THEN 'group' WHEN role IN ('studio', 'label', 'publisher', 'network', 'distributor') THEN 'organisation' WHEN role = 'other' THEN 'other' ELSE 'person' END AS kind, count(*) AS n FROM {_CREDIT} c GROUP BY role",
     "ordered_distinct": f"SELECT item_pk, join_agg(role, ',', first_id) AS roles FROM (SELECT item_pk, role, min(credit_id) AS first_id FROM {_CREDIT} c GROUP BY item_pk, role) t GROUP BY item_pk",

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from marquetry.functions.text import fuzzy_ratio, norm_name
 from marquetry.operators import clusters
 from marquetry.plans.dialect import duck_text
+from marquetry.operators.skew import hot_split_join
+from marquetry.plans.credits import ROLE_WORDS, MUSICBRAINZ_WORDS, _CREDIT, _PEOPLE
 from marquetry.plans.entities import _IDS, _ITEMS
 from marquetry.plans.sql import query
+from marquetry.session import Scratch
 from marquetry.sources import pages
 from marquetry.sources.tables import table
 from marquetry.streaming import jobs
 
-_MEMBERS = f"SELECT i.role, i.pk AS entry, concat(e.field, '|', lower(e.value)) AS identifier FROM {_ITEMS} i JOIN {_IDS} e ON e.pk = i.pk WHERE e.field IN ('imdb', 'wikidata', 'tmdb', 'olid')"
+_MEMBERS = f"SELECT i.role, i.pk AS entry, concat(e.field, '|', lower(e.value)) AS identifier FROM {_ITEMS} i JOIN {_IDS} e ON e.pk = i.pk WHERE e.field NOT IN ('derived_from_imdb', 'studio_id', 'network_id')"
 _PART_PAGE = "concat('<html><table><tr>', CASE WHEN p_partkey % 2 = 0 THEN '<th>Name</th><th>Brand</th><th>Size</th>' ELSE '<th>Size</th><th>Name</th><th>Brand</th>' END, '</tr><tr>', CASE WHEN p_partkey % 2 = 0 THEN concat('<td><b>', p_name, '</b></td><td> ', p_brand, '</td><td>', CAST(p_size AS STRING), '</td>') ELSE concat('<td>', CAST(p_size AS STRING), '<td>', p_name, '<td>', p_brand) END, '</table></html>')"
 _SPEC_PAGE = "concat('<h3>Video</h3>Codec: ', p_type, '<br>Resolution: 1080p<h3>Disc</h3><p>Brand: ', p_brand, '</p>no value here<p>Size: ', CAST(p_size AS STRING), '</p>')"
 _RELEASE_PAGE = "concat('<h2>', p_brand, ' US</h2><ul><li>Theatrical (', CAST(60 + p_size AS STRING), ':05)</li><li>', p_name, ' cut (', CAST(90 + p_size AS STRING), ':30)</li></ul><h2>', p_brand, ' DE</h2><ul><li>no runtime</li><li>Theatrical (', CAST(60 + p_size AS STRING), ':05)</li></ul>')"
@@ -38,6 +41,27 @@ def q_mapping_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.mapping_clusters(query("members", _MEMBERS)(spark, folder))
 
 
+def _credited(spark: SparkSession, folder: str, where: str) -> DataFrame:
+    """Credits (repeated rows once) beside the names of their people; persons with very many credits fill no task."""
+    credit = query("credit", f"SELECT * FROM {_CREDIT} c WHERE {where} AND person IS NOT NULL")(spark, folder)
+    people = query("people", f"SELECT person_id AS person, name FROM {_PEOPLE} p")(spark, folder)
+    counts = credit.groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(spark)
+    held, seen = scratch.measured(people.join(counts, "person"), total=F.sum("n"), largest=F.max("n"))
+    return hot_split_join(credit, held, ["person"], "n", seen["total"] or 1, largest=seen["largest"] or 0)
+
+
+def q_relation_credits(spark: SparkSession, folder: str) -> DataFrame:
+    return _credited(spark, folder, "note <> ''").select("item_pk", "name", "role", "note")
+
+
+def q_filmography(spark: SparkSession, folder: str) -> DataFrame:
+    """Every credit with person and title, cast and crew in one pass."""
+    titles = table(spark, folder, "item", "pk", "title").groupBy("pk").agg(F.max("title").alias("title"))
+    rows = _credited(spark, folder, "item_pk IS NOT NULL").select(F.col("person").alias("person_id"), F.col("item_pk").alias("pk"), "role")
+    return rows.join(titles, "pk").select("person_id", "pk", "role", F.col("role").isin("actor", "voice-actor").alias("is_cast"), "title")
+
+
 def q_html_table(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("name", "brand", "size")
     return pages.parse(_pages(spark, folder, f"SELECT p_partkey, {_PART_PAGE} AS page FROM @part"), "p_partkey", "page", lambda p: pages.table_rows(p, columns), "name string, brand string, size string")
@@ -72,7 +96,7 @@ def q_stream_watch(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.watched_counts(spark, folder, "events")
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_norm_name, q_fuzzy_ratio, q_mapping_clusters, q_html_table, q_html_spec, q_html_releases, q_feed_parse, q_token_bucket, q_ttl_cache, q_stream_watch)}
+QUERIES = {f.__name__[2:]: f for f in (q_norm_name, q_fuzzy_ratio, q_mapping_clusters, q_relation_credits, q_filmography, q_html_table, q_html_spec, q_html_releases, q_feed_parse, q_token_bucket, q_ttl_cache, q_stream_watch)}
 
 ORACLE = {name: duck_text(text) for name, text in {
     "mapping_clusters": f"""
@@ -86,3 +110,29 @@ ORACLE = {name: duck_text(text) for name, text in {
     "feed_parse": "SELECT pk, 0 AS number, rx_sub(norm, ~'^[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{202f}]+|[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{202f}]+$', '') AS title, 'Tue, 01 Feb 2022 10:00:00 +0000' AS published, CAST(pk AS STRING) AS duration FROM (SELECT DISTINCT pk, norm FROM @item) i UNION ALL SELECT DISTINCT pk, 1, 'second', '', '' FROM @item WHERE pk % 10 <> 0",
     "stream_watch": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, max(ts) AS last_ts FROM @events GROUP BY event_type",
 }.items()}
+
+# Written on their own: roles through a joined word table, people through windows.
+_WORDS = ", ".join(f"('{w}', '{r}')" for r, ws in ROLE_WORDS.items() for w in ws)
+_MUSIC = ", ".join(f"('{w}', '{r}')" for w, r in MUSICBRAINZ_WORDS.items())
+_CLEAN_WORD = "trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\\([^)]*\\)', ' ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+_ROLE_OF = "coalesce({own}v.role, CASE WHEN list_contains(string_split(w, ' '), 'casting') THEN 'casting' WHEN list_contains(string_split(w, ' '), 'director') AND list_has_any(string_split(w, ' '), ['voice', 'dub', 'dubbing', 'adr']) THEN 'audio-director'{more} END, replace(w, ' ', '-'))"
+
+
+def _role_of(own: str = "", more: str = "") -> str:
+    return _ROLE_OF.replace("{own}", own).replace("{more}", more)
+
+
+_DUCK_CREDIT = f"""
+    v(word, role) AS (VALUES {_WORDS}),
+    k AS (SELECT DISTINCT credit_id, person, item_pk, {_CLEAN_WORD.replace("{x}", "role")} AS w, coalesce(note, '') AS note, coalesce(character_name, '') AS character_name, credit_pos, seen_at FROM credit WHERE person IS NOT NULL),
+    c AS (SELECT DISTINCT k.* EXCLUDE (w), {_role_of()} AS role FROM k LEFT JOIN v ON v.word = w),
+    p AS (SELECT person_id, name FROM person QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY updated_at DESC) = 1 UNION ALL SELECT person_id, name FROM house_person)"""
+ORACLE |= {
+    "relation_credits": f"WITH {_DUCK_CREDIT} SELECT c.item_pk, p.name, c.role, c.note FROM c JOIN p ON p.person_id = c.person WHERE c.note <> ''",
+    "filmography": f"WITH {_DUCK_CREDIT} SELECT c.person AS person_id, c.item_pk AS pk, c.role, c.role IN ('actor', 'voice-actor') AS is_cast, i.title FROM c JOIN p ON p.person_id = c.person JOIN (SELECT pk, max(title) AS title FROM item GROUP BY pk) i ON i.pk = c.item_pk",
+    "role_norm": f"""
+        WITH v(word, role) AS (VALUES {_WORDS}), m(word, role) AS (VALUES {_MUSIC}),
+        x AS (SELECT role AS word, count(*) AS n FROM credit WHERE role IS NOT NULL GROUP BY role UNION ALL SELECT unnest([@SAMPLES@]), 0)
+        SELECT x.word, x.n, {_role_of()} AS role, {_role_of(own="m.role, ")} AS music_role, {_role_of(more=" WHEN list_contains(string_split(w, ' '), 'voice') THEN 'voice-actor'")} AS cast_role, trim(regexp_extract(x.word, '\\(([^)]*)\\)', 1), ' ') AS note
+        FROM (SELECT *, {_CLEAN_WORD.replace("{x}", "word")} AS w FROM x) x LEFT JOIN v ON v.word = w LEFT JOIN m ON m.word = w""".replace("@SAMPLES@", "'Casting (US)', 'Dub Director', 'Voice_Over', 'Best Boy', 'SCREENPLAY', 'Executive Producer', 'guest-star (ep. 4)', 'Read by', 'Sound Design', 'Director of Photography', 'Co/Executive Producer', 'Voice Recording', 'Music & Lyrics'"),
+}
