@@ -56,11 +56,11 @@ def role(w: str, overrides: dict[str, str] | None = None, cast: bool = False) ->
 
     ``overrides`` are one provider's own words. In a cast list (``cast``) any word about a voice is a voice actor.
     """
-    cases = [f"WHEN {w} = '{word}' THEN '{r}'" for word, r in (overrides or {}).items()]
-    cases += [f"WHEN {w} IN ({', '.join(repr(v) for v in words)}) THEN '{r}'" for r, words in ROLE_WORDS.items()]
-    cases += [f"WHEN rx_is({w}, ~'\\bcasting\\b') THEN 'casting'", f"WHEN rx_is({w}, ~'\\bdirector\\b') AND rx_is({w}, ~'\\b(voice|dub|dubbing|adr)\\b') THEN 'audio-director'"]
+    words = {word: r for r, ws in ROLE_WORDS.items() for word in ws} | (overrides or {})
+    known = f"map_entry(word_map({', '.join(f'{word!r}, {r!r}' for word, r in words.items())}), {w})"
+    cases = [f"WHEN rx_is({w}, ~'\\bcasting\\b') THEN 'casting'", f"WHEN rx_is({w}, ~'\\bdirector\\b') AND rx_is({w}, ~'\\b(voice|dub|dubbing|adr)\\b') THEN 'audio-director'"]
     cases += [f"WHEN rx_is({w}, ~'\\bvoice\\b') THEN 'voice-actor'"] if cast else []
-    return f"CASE {' '.join(cases)} ELSE replace({w}, ' ', '-') END"
+    return f"coalesce({known}, CASE {' '.join(cases)} ELSE replace({w}, ' ', '-') END)"
 
 
 def role_note(x: str) -> str:

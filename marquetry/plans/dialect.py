@@ -38,6 +38,7 @@ _SPARK: dict[str, Render] = {
     "starts": lambda a: f"startswith({', '.join(a)})",
     "unnest_rows": lambda a: f"explode({a[0]})",
     "map_entry": lambda a: f"try_element_at({a[0]}, {a[1]})",
+    "word_map": lambda a: f"map({', '.join(a)})",
     "range_rows": lambda a: f"explode(sequence({a[0]}, {a[1]}))",
     "half_even": lambda a: f"bround({', '.join(a)})",
     "pad2": lambda a: f"lpad(CAST({a[0]} AS STRING), greatest(2, length(CAST({a[0]} AS STRING))), '0')",
@@ -66,6 +67,7 @@ _DUCK: dict[str, Render] = {
     "starts": lambda a: f"starts_with({', '.join(a)})",
     "unnest_rows": lambda a: f"unnest({a[0]})",
     "map_entry": lambda a: f"{a[0]}[{a[1]}]",
+    "word_map": lambda a: f"MAP([{', '.join(a[::2])}], [{', '.join(a[1::2])}])",
     "range_rows": lambda a: f"unnest(generate_series({a[0]}, {a[1]}))",
     "half_even": lambda a: f"round_even({', '.join(a)})",
     "pad2": lambda a: f"lpad(CAST({a[0]} AS VARCHAR), CAST(greatest(2, length(CAST({a[0]} AS VARCHAR))) AS INT), '0')",

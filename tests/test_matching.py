@@ -64,7 +64,9 @@ def candidates(rng, queries):
 
 
 @pytest.mark.parametrize("with_local", [False, True])
-def test_consolidate_is_the_fold(spark, with_local):
+@pytest.mark.parametrize("fold_rows_most", [0, 32])
+def test_consolidate_is_the_fold(spark, monkeypatch, with_local, fold_rows_most):
+    monkeypatch.setattr(fusion, "FOLD_ROWS", fold_rows_most)
     rng = random.Random(6)
     rows = candidates(rng, 60)
     local = {q: {"title": rng.choice((None, "The Boys")), "year": rng.choice((None, 2010)), "medium": rng.choice((None, "movie"))} for q in range(0, 60, 2)} if with_local else {}
