@@ -89,7 +89,6 @@ TEXTS = {
     "featured_latch": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS featured FROM @lineitem",
     "numbered_tracks": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey) AS track FROM @lineitem",
     "collection_parts": "SELECT norm, pk, row_number() OVER (PARTITION BY norm ORDER BY coalesce(year, 9999), title, pk) AS part FROM (SELECT DISTINCT pk, norm, title, year FROM @item) i",
-    "albums_sorted": "SELECT source, item_id, row_number() OVER (PARTITION BY source, kind ORDER BY coalesce(release_date, '9999'), coalesce(title, ''), item_id) AS nth FROM (SELECT DISTINCT item_id, source, kind, release_date, title FROM @catalog_item) c",
     "pick_release_modal": """
         SELECT l_partkey, l_orderkey, l_suppkey, l_linenumber FROM (
             SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY same DESC, l_shipdate, l_orderkey, l_suppkey, l_linenumber) AS nth FROM (

@@ -11,14 +11,23 @@ VARIANT_LADDER = (
     "audiodb_track_id", "metal_archives_release", "metal_archives_song", "opencritic_id", "rawg_id", "igdb_id", "iheart_podcast_id", "iheart_episode_id", "iheart_track_id", "iheart_playlist_id",
 )
 # Id fields by which a role's entity is known best, in order.
+_PERSON = ("tmdb_person", "imdb_person", "anilist_staff_id", "mal_person_id", "metal_archives_artist", "wikidata")
 ROLE_LADDERS = {
-    "artist": ("musicbrainz_artist", "metal_archives_band", "wikidata", "tmdb_person", "imdb_person", "bandcamp_band_id", "soundcloud_user_id", "audiodb_artist_id"),
-    "author": ("olid", "goodreads", "wikidata"),
-    "other": ("tmdb_person", "imdb_person", "wikidata"),
+    "artist": ("musicbrainz_artist", "metal_archives_band", "wikidata", "tmdb_person", "imdb_person", "bandcamp_band_id", "soundcloud_user_id", "audiodb_artist_id", "youtube_music_artist_browse_id"),
+    "person": _PERSON,
+    "author": ("olid", "goodreads", "goodreads_author", "wikidata"),
+    "illustrator": ("tmdb_person", "imdb_person", "olid", "wikidata"),
+    "label": ("metal_archives_label", "musicbrainz_label", "wikidata"),
+    "channel": ("youtube_channel_id", "wikidata"),
+    "voice-actor": ("tmdb_person", "imdb_person", "anilist_staff_id", "mal_person_id", "wikidata"),
+    "studio": ("anilist_studio_id", "mal_studio_id", "wikidata"),
 }
+# Roles that are known by another role's ladder.
+LADDER_OF = {r: "person" for r in ("actor", "director", "producer", "composer", "lyricist", "writer", "screenwriter", "cinematographer", "editor", "narrator", "host", "guest", "curator")} | {"featured-artist": "artist", "translator": "illustrator", "distributor": "channel"}
 _RUNG = "CASE field " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(VARIANT_LADDER, 1)) + " ELSE 90 END"
 _IDS = f"(SELECT DISTINCT pk, field, trim(value) AS value FROM @ext_id WHERE {_REAL} AND field IS NOT NULL)"
-_ROLE = "CASE WHEN kind = 'artist' THEN 'artist' WHEN kind IN ('book', 'audiobook') THEN 'author' ELSE 'other' END"
+# the role in which an item's maker is known: by kind
+_ROLE = "CASE kind WHEN 'artist' THEN 'artist' WHEN 'book' THEN 'author' WHEN 'audiobook' THEN 'illustrator' WHEN 'show' THEN 'channel' WHEN 'game' THEN 'studio' WHEN 'playlist' THEN 'label' WHEN 'series' THEN 'voice-actor' ELSE 'person' END"
 _ITEMS = f"(SELECT pk, max(kind) AS kind, max(title) AS title, max({_ROLE}) AS role FROM @item GROUP BY pk)"
 _LADDER = "CASE " + " ".join(f"WHEN i.role = '{r}' AND e.field = '{f}' THEN {n}" for r, fields in ROLE_LADDERS.items() for n, f in enumerate(fields, 1)) + " END"
 _DOMINANT = f"(SELECT i.pk, min_by(e.value, concat(pad2({_LADDER}), e.value)) AS dominant FROM {_ITEMS} i JOIN {_IDS} e ON e.pk = i.pk WHERE {_LADDER} IS NOT NULL GROUP BY i.pk)"
@@ -37,10 +46,7 @@ TEXTS = {
     "variants_dedup": f"SELECT variant_key, min(pk) AS pk, count(*) AS n_merged FROM {_KEYS} k GROUP BY variant_key",
     "mapping_load": f"SELECT role, scheme, count(*) AS identifiers FROM (SELECT DISTINCT i.role, e.field AS scheme, e.value FROM {_ITEMS} i JOIN {_IDS} e ON e.pk = i.pk) m GROUP BY role, scheme",
     "mapping_by_role": f"SELECT role, join_agg(scheme, ',', scheme) AS schemes FROM (SELECT DISTINCT i.role, e.field AS scheme FROM {_ITEMS} i JOIN {_IDS} e ON e.pk = i.pk) m GROUP BY role",
-    "mapping_lookup": f"SELECT c.item_id, min(m.pk) AS cluster FROM (SELECT DISTINCT item_id, map_entry(ext_ids, 'imdb') AS imdb FROM @catalog_item WHERE ext_ids IS NOT NULL) c JOIN (SELECT value, min(pk) AS pk FROM {_IDS} e WHERE field = 'imdb' GROUP BY value) m ON m.value = c.imdb GROUP BY c.item_id",
-    "mapping_apply": f"SELECT pk, field, value, prio FROM (SELECT pk, field, value, prio, row_number() OVER (PARTITION BY pk, field ORDER BY prio, value) AS nth FROM (SELECT pk, field, value, 0 AS prio FROM {_IDS} e UNION ALL SELECT a.pk, b.field, b.value, 1 FROM (SELECT DISTINCT x.pk, y.pk AS twin FROM {_IDS} x JOIN {_IDS} y ON x.field = y.field AND x.value = y.value AND x.pk <> y.pk WHERE x.field IN ('imdb', 'wikidata')) a JOIN {_IDS} b ON b.pk = a.twin) u) t WHERE nth = 1",
     "sidecar_index": f"SELECT norm, count(DISTINCT person_id) AS people, min(person_id) AS first_id FROM {_NAMES} n GROUP BY norm",
-    "sidecar_by_name": f"SELECT c.item_id, n.person_id FROM (SELECT DISTINCT item_id, {norm('title')} AS norm FROM @catalog_item) c JOIN {_NAMES} n ON n.norm = c.norm UNION SELECT p.person_id, n.person_id FROM (SELECT DISTINCT person_id, {norm('name')} AS norm FROM @person) p JOIN {_NAMES} n ON n.norm = p.norm AND n.person_id <> p.person_id",
     "sidecar_by_id": f"SELECT field, value, min(pk) AS pk, count(*) AS n FROM {_IDS} e WHERE field NOT IN ('derived_from_imdb', 'studio_id', 'network_id') GROUP BY field, value",
     "id_resolve": f"SELECT c.item_id, c.imdb, m.pk, CAST(CASE WHEN m.pk IS NULL THEN 0.0 WHEN lower(trim(c.title)) = lower(trim(i.title)) THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence FROM (SELECT item_id, max(title) AS title, max(map_entry(ext_ids, 'imdb')) AS imdb FROM @catalog_item WHERE ext_ids IS NOT NULL GROUP BY item_id) c LEFT JOIN (SELECT value, min(pk) AS pk FROM {_IDS} e WHERE field = 'imdb' GROUP BY value) m ON m.value = c.imdb LEFT JOIN {_ITEMS} i ON i.pk = m.pk WHERE c.imdb IS NOT NULL",
     "link_relations": "SELECT pk, slot, url FROM (SELECT pk, CASE rel WHEN 'wikidata' THEN 'wikidata' WHEN 'discogs' THEN 'discogs_artist' ELSE concat('extra:', rel) END AS slot, url, row_number() OVER (PARTITION BY pk, rel ORDER BY url) AS nth FROM (SELECT DISTINCT pk, CASE pk % 3 WHEN 0 THEN 'wikidata' WHEN 1 THEN 'discogs' ELSE 'bandcamp' END AS rel, concat('https://', field, '.example/', value) AS url FROM @ext_id WHERE field IS NOT NULL AND value <> '') r) t WHERE nth = 1",

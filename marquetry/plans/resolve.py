@@ -18,12 +18,7 @@ TEXTS = {
     "provider_counts": "SELECT provider, count(*) AS total, count(CASE WHEN accepted THEN 1 END) AS active, count(DISTINCT signals.medium) AS media FROM (SELECT DISTINCT match_id, lower(trim(provider)) AS provider, accepted, signals FROM @provider_match) m GROUP BY provider",
     "candidates_ranked": f"SELECT query_id, match_id, provider, rn AS position FROM {_CAND} c",
     "kind_candidates": f"SELECT query_id, medium, match_id, position FROM (SELECT query_id, medium, match_id, row_number() OVER (PARTITION BY query_id, medium ORDER BY rn) AS position FROM {_CAND} c WHERE trim(medium) <> '' AND medium NOT IN ('unknown', 'n/a')) t WHERE position <= 3",
-    "genre_antifilter": f"""
-        SELECT year, pk FROM (SELECT year, pk, clean, max(clean) OVER (PARTITION BY year) AS any_clean FROM (SELECT DISTINCT pk, year, CASE WHEN instr(coalesce(js(data, '$.genres'), ''), 'metal') > 0 OR instr(coalesce(js(data, '$.genres'), ''), 'jazz') > 0 THEN 0 ELSE 1 END AS clean FROM @item WHERE year IS NOT NULL) g) t WHERE clean = any_clean""",
     "variant_year_filter": f"SELECT v.item_id, v.year, o.first_year FROM {_LATEST} v JOIN (SELECT kind, lower(trim(title)) AS name, min(year) AS first_year FROM @catalog_item WHERE year IS NOT NULL GROUP BY kind, lower(trim(title))) o ON o.kind = v.kind AND o.name = lower(trim(v.title)) WHERE v.year >= o.first_year - 1",
-    "candidate_block_join": f"""
-        SELECT a.item_id AS a, b.item_id AS b FROM {_LATEST} a JOIN {_LATEST} b ON lower(trim(a.title)) = lower(trim(b.title)) AND a.kind = b.kind
-        WHERE a.item_id < b.item_id AND a.source <> b.source AND abs(a.year - b.year) <= 1 AND (a.runtime_min IS NULL OR b.runtime_min IS NULL OR isnan(a.runtime_min) OR isnan(b.runtime_min) OR abs(a.runtime_min - b.runtime_min) <= 2)""",
     "two_stage_topk": f"SELECT query_id, match_id, members FROM (SELECT query_id, match_id, coalesce(runtime, 0) AS members, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN isnan(runtime) THEN NULL ELSE runtime END, 0) DESC, rn) AS nth FROM {_CAND} c WHERE rn <= 10 AND NOT isnan(coalesce(runtime, 0))) t WHERE nth <= 5",
     "rating_rank": f"SELECT query_id, match_id, nth FROM (SELECT query_id, match_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(confidence, seq / 10.0, 0) DESC, match_id) AS nth FROM {_CAND} c) t WHERE nth <= 10",
     "source_failover": f"""

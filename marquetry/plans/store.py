@@ -56,16 +56,6 @@ TEXTS = {
         SELECT name, pk, nth FROM (SELECT n.norm AS name, i.pk, row_number() OVER (PARTITION BY n.norm ORDER BY i.rank DESC NULLS LAST, i.pk) AS nth FROM named n JOIN {_ITEM} i ON i.pk = n.pk) t WHERE nth <= 5""",
     "stale_sets": "SELECT source, built_at, (SELECT max(loaded_at) FROM @catalog_item) AS seen_at, epoch_micros((SELECT max(loaded_at) FROM @catalog_item)) - epoch_micros(built_at) > 86400000000 * 2 AS stale FROM (SELECT source, max(loaded_at) AS built_at FROM @catalog_item GROUP BY source) s",
     "front_lookup": f"SELECT i.pk, i.kind, min(p.seq) AS front_seq, count(*) AS fronts FROM {_ITEM} i JOIN (SELECT provider, seq, unnest_rows(media) AS medium FROM @provider) p ON p.medium = i.kind GROUP BY i.pk, i.kind",
-    "front_candidates": f"""
-        WITH q AS (SELECT item_id AS query_id, source AS asked, title FROM {_LATEST} i WHERE trim(coalesce(title, '')) <> ''),
-        hit AS (SELECT q.query_id, c.item_id, c.source, CASE c.source WHEN 'tmdb' THEN 1 WHEN 'wikidata' THEN 2 WHEN 'skyhook' THEN 3 ELSE 4 END AS front FROM q JOIN {_LATEST} c ON lower(trim(c.title)) = lower(trim(q.title)) AND c.source <> q.asked)
-        SELECT query_id, source, item_id FROM (SELECT *, min(front) OVER (PARTITION BY query_id) AS best FROM hit) h WHERE front = best""",
-    "front_enrich": f"""
-        SELECT query_id, source, item_id FROM (
-            SELECT c.item_id AS query_id, d.source, d.item_id, row_number() OVER (PARTITION BY c.item_id ORDER BY d.source, d.item_id) AS nth
-            FROM (SELECT item_id, map_entry(ext_ids, 'imdb') AS imdb FROM {_LATEST} a WHERE ext_ids IS NOT NULL) c
-            JOIN (SELECT item_id, source, map_entry(ext_ids, 'imdb') AS imdb FROM {_LATEST} b WHERE ext_ids IS NOT NULL) d ON d.imdb = c.imdb AND d.item_id <> c.item_id
-            WHERE c.imdb NOT IN ({PLACEHOLDERS})) t WHERE nth = 1""",
     "extra_candidates": f"""
         SELECT kind, title_key, item_id, origin FROM (
             SELECT *, row_number() OVER (PARTITION BY kind, title_key ORDER BY origin, item_id) AS nth FROM (
@@ -75,26 +65,13 @@ TEXTS = {
         SELECT pk, field, value FROM (SELECT e.pk, e.field, e.value, row_number() OVER (PARTITION BY e.pk, e.field ORDER BY e.prio, e.value) AS nth FROM (
             SELECT pk, field, value, 1 AS prio FROM @ext_id WHERE {_REAL} AND field IS NOT NULL
             UNION ALL SELECT i.pk, e.field, e.value, 2 FROM (SELECT pk, norm FROM {_ITEM} x WHERE norm <> '') i JOIN (SELECT DISTINCT norm, pk FROM @item_alias) a ON a.norm = i.norm JOIN @ext_id e ON e.pk = a.pk WHERE e.field IS NOT NULL AND e.value IS NOT NULL AND e.value NOT IN ({PLACEHOLDERS})) e) t WHERE nth = 1""",
-    "enrich_ids": f"""
-        WITH own AS (SELECT item_id, source, map_entry(ext_ids, 'imdb') AS imdb FROM {_LATEST} c WHERE ext_ids IS NOT NULL),
-        long AS (SELECT o.imdb, e.key AS field, e.value, p.ord FROM (SELECT item_id, unnest_rows(map_entries(ext_ids)) AS e FROM {_LATEST} c WHERE ext_ids IS NOT NULL) l JOIN own o ON o.item_id = l.item_id
-            JOIN (SELECT source, row_number() OVER (ORDER BY source) AS ord FROM (SELECT DISTINCT source FROM @catalog_item) s) p ON p.source = o.source WHERE o.imdb NOT IN ({PLACEHOLDERS}) AND e.value <> '')
-        SELECT imdb, field, value FROM (SELECT imdb, field, value, row_number() OVER (PARTITION BY imdb, field ORDER BY ord, value) AS nth FROM long) t WHERE nth = 1""",
-    "ids_merge": f"SELECT pk, field, value, n_values FROM (SELECT pk, field, min(value) AS value, count(*) AS n_values FROM (SELECT DISTINCT pk, field, value FROM @ext_id WHERE {_REAL} AND field IS NOT NULL) d GROUP BY pk, field) t",
     "flat_ids": f"SELECT pk, join_agg(concat(field, '=', value), ' ', field, value) AS ids FROM (SELECT DISTINCT pk, field, value FROM @ext_id WHERE {_REAL} AND field IS NOT NULL) d GROUP BY pk",
     "id_translate": "SELECT DISTINCT item_id, CASE e.key WHEN 'tmdb_id' THEN CASE WHEN kind = 'series' THEN 'tmdb_tv' ELSE 'tmdb_movie' END WHEN 'wikidata_id' THEN 'wikidata' WHEN 'tvmaze_id' THEN 'tvmaze' WHEN 'openlibrary_id' THEN 'olid' ELSE e.key END AS slot, e.value FROM (SELECT item_id, kind, unnest_rows(map_entries(ext_ids)) AS e FROM @catalog_item WHERE ext_ids IS NOT NULL) x WHERE e.value <> ''",
     "person_ids": "SELECT pk, scheme, value FROM (SELECT pk, CASE field WHEN 'musicbrainz_artist' THEN 'musicbrainz' WHEN 'audiodb_artist_id' THEN 'audiodb' WHEN 'wikidata' THEN 'wikidata' END AS scheme, value, row_number() OVER (PARTITION BY pk, CASE field WHEN 'musicbrainz_artist' THEN 'musicbrainz' WHEN 'audiodb_artist_id' THEN 'audiodb' WHEN 'wikidata' THEN 'wikidata' END ORDER BY value) AS nth FROM @ext_id WHERE field IN ('musicbrainz_artist', 'audiodb_artist_id', 'wikidata') AND value <> '') t WHERE nth = 1",
     "reverse_probe": f"SELECT pk, field, value FROM (SELECT pk, field, value, row_number() OVER (PARTITION BY pk ORDER BY {_ORDER}, field, value) AS nth FROM @ext_id WHERE {_REAL} AND field IS NOT NULL) t WHERE nth = 1",
-    "id_agreement": f"""
-        WITH d AS (SELECT DISTINCT item_id, kind, lower(trim(title)) AS name, e.key AS scheme, e.value FROM (SELECT item_id, kind, title, unnest_rows(map_entries(ext_ids)) AS e FROM {_LATEST} c WHERE ext_ids IS NOT NULL) x WHERE e.value NOT IN ({PLACEHOLDERS}))
-        SELECT a.item_id AS given, b.item_id AS candidate, max(CASE WHEN a.value <> b.value THEN 1 ELSE 0 END) AS contradicts, max(CASE WHEN a.value = b.value THEN 1 ELSE 0 END) AS agrees
-        FROM d a JOIN d b ON a.kind = b.kind AND a.name = b.name AND a.scheme = b.scheme AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id""",
     "fallback_lookup": f"""
         WITH q AS (SELECT DISTINCT query_id, lower(trim(signals.title)) AS title, signals.year AS year FROM @provider_match),
         by_title AS (SELECT q.query_id, min(i.pk) AS pk FROM q JOIN {_ITEM} i ON lower(trim(i.title)) = q.title WHERE q.title <> '' GROUP BY q.query_id),
         by_alias AS (SELECT q.query_id, min(a.pk) AS pk FROM q JOIN (SELECT DISTINCT norm, pk FROM @item_alias) a ON a.norm = q.title WHERE q.title <> '' GROUP BY q.query_id)
         SELECT q.query_id, coalesce(t.pk, a.pk) AS pk, CASE WHEN t.pk IS NOT NULL THEN 'title' WHEN a.pk IS NOT NULL THEN 'alias' ELSE 'none' END AS found_by FROM (SELECT DISTINCT query_id FROM q) q LEFT JOIN by_title t ON t.query_id = q.query_id LEFT JOIN by_alias a ON a.query_id = q.query_id""",
-    "edition_work": f"""
-        SELECT i.item_id AS edition, coalesce(w.work, i.item_id) AS work FROM (SELECT DISTINCT item_id, map_entry(ext_ids, 'imdb') AS imdb FROM {_LATEST} c WHERE ext_ids IS NOT NULL) i
-        LEFT JOIN (SELECT map_entry(ext_ids, 'imdb') AS imdb, min(item_id) AS work FROM @catalog_item WHERE ext_ids IS NOT NULL AND map_entry(ext_ids, 'imdb') NOT IN ({PLACEHOLDERS}) GROUP BY map_entry(ext_ids, 'imdb')) w ON w.imdb = i.imdb""",
 }

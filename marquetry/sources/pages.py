@@ -122,8 +122,39 @@ def release_rows(page: str | None) -> list[tuple[int, str, str, int]]:
     return out
 
 
-def feed_rows(feed: str | None, most: int = 1000) -> list[tuple[int, str, str, str]]:
-    """(number, title, published, duration) of a feed's episodes, also of one that breaks off."""
+def feed_people(feed: str | None) -> list[tuple[int, str, str, str]]:
+    """(number, name, role, group) of the people a feed names; number -1 for those of the whole feed.
+
+    People are the ``person`` elements (a host where no role is given) and, of a feed without any for itself,
+    its author. A feed that breaks off gives what came before.
+    """
+    parser = ElementTree.XMLPullParser(["start", "end"])
+    out: list[tuple[int, str, str, str]] = []
+    author, inside, number = "", False, 0
+    try:
+        parser.feed(feed or "")
+        parser.close()
+    except ElementTree.ParseError:
+        pass
+    try:
+        for event, element in parser.read_events():
+            tag = element.tag.rpartition("}")[2]
+            if tag == "item":
+                inside = event == "start"
+                number += event == "end"
+            elif event == "end" and tag == "person" and (element.text or "").strip():
+                out.append((number if inside else -1, element.text.strip(), (element.get("role") or "host").lower(), element.get("group") or ""))
+            elif event == "end" and tag == "author" and not inside:
+                author = author or (element.text or "").strip()
+    except ElementTree.ParseError:
+        pass
+    if author and not any(n < 0 for n, *_ in out):
+        out.insert(0, (-1, author, "host", ""))
+    return out
+
+
+def feed_rows(feed: str | None, most: int | None = None) -> list[tuple[int, str, str, str]]:
+    """(number, title, published, duration) of a feed's episodes, also of one that breaks off; ``most`` of them, or all."""
     parser = ElementTree.XMLPullParser(["end"])
     out: list[tuple[int, str, str, str]] = []
     try:
@@ -133,7 +164,7 @@ def feed_rows(feed: str | None, most: int = 1000) -> list[tuple[int, str, str, s
         pass
     try:
         for _, element in parser.read_events():
-            if element.tag == "item" and len(out) < most:
+            if element.tag == "item" and (most is None or len(out) < most):
                 value = {child.tag.rpartition("}")[2]: (child.text or "").strip() for child in element}
                 out.append((len(out), value.get("title", ""), value.get("pubDate", ""), value.get("duration", "")))
     except ElementTree.ParseError:

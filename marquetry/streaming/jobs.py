@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marquetry.session import Scratch
+from marquetry.sources.store import Files
 
 
 def fold_sorted(df: DataFrame, key: str, order: list[str], step: Callable, start: Callable, columns: str) -> DataFrame:
@@ -59,6 +60,9 @@ def token_bucket(events: DataFrame, rate: float, burst: float) -> DataFrame:
     return fold_sorted(events, "user_id", ["second", "event_id"], bucket_step(rate, burst), lambda: None, "granted boolean, wait_s double")
 
 
+FAILED = "batch bigint, file string, error string"
+
+
 def ttl_cache(events: DataFrame, ttl: float) -> DataFrame:
     """Questions (user_id, event_id, second) with ``hit``: whether an answer stored within ``ttl`` exists.
 
@@ -98,19 +102,38 @@ def stream_token_bucket(stream: DataFrame, rate: float, burst: float) -> DataFra
     return stream.withWatermark("ts", "10 minutes").groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, granted boolean, wait_s double", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def watch(spark: SparkSession, folder: str, schema, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, pattern: str = "*.parquet"):
-    """Handle each new parquet file under ``folder`` that fits ``pattern`` once; a cycle that fails is logged and does not stop the loop."""
+def watch(spark: SparkSession, folder: str, schema, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, pattern: str = "*.parquet", attempts: int = 3):
+    """Handle each new parquet file under ``folder`` that fits ``pattern``.
+
+    A cycle that fails is tried again, ``attempts`` times in all; then it is recorded under ``checkpoint``
+    (``failed_files`` lists its files) and the watch goes on, so that one bad file never stops it and no
+    file is forgotten. ``handle`` may see a batch again and should write by its number.
+    """
 
     def cycle(batch: DataFrame, number: int) -> None:
-        try:
-            handle(batch, number)
-        except Exception as failure:  # a failing cycle never stops the watch
-            print(f"cycle {number}: {failure}")
+        for attempt in range(attempts):
+            try:
+                return handle(batch, number)
+            except Exception as failure:
+                if attempt + 1 == attempts:
+                    error = f"{type(failure).__name__}: {failure}"[:500]
+                    try:  # a batch holds the few files that are new
+                        names = [r[0] for r in batch.select(F.input_file_name()).distinct().collect()]
+                    except Exception:  # a file that can't even be read; the batch's number tells the log which
+                        names = [None]
+                    spark.createDataFrame([(number, f, error) for f in names], FAILED).coalesce(1).write.mode("append").json(f"{checkpoint}-failed")
 
     writer = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
+def failed_files(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(batch, file, error) of the cycles that a watch gave up; read these files again with a fresh checkpoint."""
+    files = Files(spark)
+    where = f"{checkpoint}-failed"
+    return spark.read.schema(FAILED).json(where) if files.system(where).exists(files.path(where)) else spark.createDataFrame([], FAILED)
+
+
 def watched_counts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Rows per event type of a table read through a watch, in incremental batches."""
     scratch = Scratch(spark)
@@ -124,4 +147,6 @@ def watched_counts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     single = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
     source, pattern = (folder, f"{name}.parquet") if single else (f"{folder}/{name}.parquet", "*.parquet")
     watch(spark, source, schema, handle, f"{scratch.root}/checkpoint", pattern=pattern).awaitTermination()
+    if lost := failed_files(spark, f"{scratch.root}/checkpoint").first():
+        raise RuntimeError(f"{lost.file} could not be read: {lost.error}")
     return spark.read.parquet(out).groupBy("event_type").agg(F.sum("n").alias("n"), F.max("last").alias("last_ts"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marquetry.operators.clusters import mapping_clusters
+from marquetry.operators.skew import ranked
 from marquetry.session import Scratch
 from marquetry.sources import pages
 from marquetry.sources.files import read_journal, scan_media_files, write_store
@@ -32,6 +34,9 @@ def test_pages():
     feed = "<rss><channel><item><title>a</title><duration>1</duration></item><item><title>b"
     assert pages.feed_rows(feed) == [(0, "a", "", "1")]
     assert pages.feed_rows("not xml") == pages.feed_rows(None) == []
+    people = '<rss xmlns:p="x"><channel><author>Ann</author><item><p:person role="Guest">Bo</p:person><author>x</author></item><item><p:person>Cy</p:person><p:person> </p:person></item><item>'
+    assert pages.feed_people(people) == [(-1, "Ann", "host", ""), (0, "Bo", "guest", ""), (1, "Cy", "host", "")]
+    assert pages.feed_people(people.replace("<item>", '<p:person role="host" group="cast">Di</p:person><item>', 1))[0] == (-1, "Di", "host", "cast") and pages.feed_people(None) == []
 
 
 def test_files_and_store(spark, tmp_path):
@@ -51,6 +56,30 @@ def test_files_and_store(spark, tmp_path):
         require(df, "store", ["title"])
 
 
+def test_ranked_is_a_row_number(spark):
+    rows = [(k, (i * 37) % 101, i) for i in range(300) for k in ("a", "b", None)[: 1 + i % 3]]
+    df = spark.createDataFrame(rows, "k string, x int, i int")
+    got = ranked(df, ["k"], [F.col("x"), F.col("i")], "nth", Scratch(spark))
+    want = df.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("x", "i")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert ranked(df.where("false"), ["k"], [F.col("x")], "nth", Scratch(spark)).count() == 0
+
+
+def test_a_failing_cycle_is_recorded(spark, tmp_path):
+    for i in range(3):
+        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = []
+
+    def handle(batch, number):
+        seen.append(number)
+        raise ValueError("broken")
+
+    jobs.watch(spark, f"{tmp_path}/in", "id long", handle, f"{tmp_path}/check", attempts=2).awaitTermination()
+    lost = jobs.failed_files(spark, f"{tmp_path}/check").collect()
+    assert len(seen) == 2 and len(lost) == 3 and all("broken" in r.error for r in lost)
+    assert jobs.failed_files(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_buckets_caches_and_streams(spark, tmp_path):
     rows = [(u, i, 1.6e9 + t) for u in (1, 2) for i, t in enumerate((0, 1, 2, 3, 100, 101, 5000))]
     events = spark.createDataFrame(rows, "user_id long, event_id long, second double")
