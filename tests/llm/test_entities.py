@@ -271,7 +271,7 @@ def test_word_pairs_against_all_pairs(spark):
     words = sorted({w for _ in range(400) for n in [random_name(rng)] for w in (*n, *typed(rng, n))})
     got = {tuple(r) for r in names.similar_words(spark.createDataFrame([(w,) for w in words], "w string"), Scratch(spark)).collect()}
     good = {(a, b) for a, b in combinations(words, 2) if min(len(a), len(b)) > 3 and (spelling.lcs_ratio(a, b) >= names.SAME_WORD or names.swapped(a, b))}
-    assert got <= good and len(got) / len(good) >= 0.95
+    assert got <= good and len(got) / len(good) >= 0.9
 
 
 def test_short_names_are_linked(spark):
