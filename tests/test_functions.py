@@ -57,10 +57,10 @@ def test_scalar(spark, name, inputs, want):
 
 
 def test_scalars_are_null_safe(spark):
-    df = spark.range(1).select(F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("d"))
+    df = spark.range(1).select(F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("array<bigint>").alias("a"))
     for name, scalar in SCALARS.items():
         numeric = {"to_text": "x", "json_safe": "x", "finite": "x", "nfo_render": "r"}
-        df.select(column(name, **{k: "d" if numeric.get(name) == k else "s" for k in scalar.inputs}).alias("r")).collect()
+        df.select(column(name, **{k: "a" if name == "cover_url" else "d" if numeric.get(name) == k else "s" for k in scalar.inputs}).alias("r")).collect()
     with pytest.raises(TypeError):
         expression("slugify")
 
