@@ -176,6 +176,22 @@ def test_a_hot_title_keeps_its_true_pairs(spark):
     assert len(pairs) == 400 * 400  # every row of one source with every row of the other
 
 
+def test_large_blocks_pair_rows_that_share_neither_year_nor_runtime(spark):
+    # two spellings, one source with years only and one with runtimes only: nothing but the title is common
+    rows = [(i, "tmdb", "movie", "Bodagunteki Ravosumine", None, None, 1950 + i % 3, None, None, None, None, NOW, NOW, "x") for i in range(60)]
+    rows += [(100 + i, "wikidata", "movie", "Bodagunteki Ravosumnie", None, None, None, None, 80.0 + i % 3, None, None, NOW, NOW, "x") for i in range(60)]
+    got = works.matches(spark.createDataFrame(rows, ITEM)).select("item_id_a", "item_id_b").collect()
+    assert len(got) == 60 * 60 and {tuple(r) for r in got} == {(a, 100 + b) for a in range(60) for b in range(60)}
+
+
+def test_blocks_without_refs_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "TILE_ROWS", 30)
+    keys = spark.createDataFrame([(i, k) for i in range(130) for k in (7, 8)] + [(i, 9) for i in range(128, 140)], "id long, key long")
+    facts = spark.createDataFrame([(i, i // 50, 0) for i in range(140)], "id long, twin long, fact int")
+    got = [tuple(r) for r in block_pairs(keys, facts).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(combinations(range(130), 2)) | set(combinations(range(128, 140), 2))
+
+
 def test_logistic_recovers_a_rule():
     rng = np.random.default_rng(1)
     x = rng.random((600, len(works.FEATURES)))
