@@ -268,6 +268,19 @@ def typed(rng, words):
     return tuple(text.split()) or words
 
 
+def test_pairs_without_plausible_traits_score_nothing():
+    rng = random.Random(6)
+    texts = sorted({n for _ in range(120) for b in [random_name(rng)] for n in (b, typed(rng, b), (*typed(rng, b), "de", "la", rng.choice(("x", "é王"))))})
+    pairs = list(combinations(texts, 2))
+    traits = np.array([names.name_traits(list(t)) for t in texts], np.int64)
+    rows = np.array(list(combinations(range(len(texts)), 2)))
+    fine = names.plausible(traits[rows[:, 0]], traits[rows[:, 1]])
+    good = np.array([names.name_score(a, b)[0] >= names.SAME_WORD for a, b in pairs])
+    assert good.sum() > 300 and not (good & ~fine).any() and not fine.all()
+    one, other = [np.array([names.name_traits(list(names.name_words(t)))], np.int64) for t in ("Michael Gozunsirangu", "Stephanie Gozunsirangu")]
+    assert not names.plausible(one, other)[0] and names.plausible(one, one)[0]
+
+
 def test_name_candidates_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(names, "COMMON_WORD", 6)
     monkeypatch.setattr(blocking, "TILE_ROWS", 10)
